@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import chat, host_rules, mixing
+from querymill.llm import bpe, chat, host_rules, mixing, token_file
 from querymill.llm.common import read
 
 
@@ -89,5 +89,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 O
 FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_format_chat": op2_format_chat, "op9_host_rules": op9_host_rules}
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe.decode(coded).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_file.write_token_files(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_file.read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_format_chat": op2_format_chat,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op8_token_files": op8_token_files,
+    "op9_host_rules": op9_host_rules,
+}
 SQL = {"op1_mix_sources": OP1_SQL, "op2_format_chat": OP2_SQL, "op9_host_rules": OP9_SQL}
