@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import bpe, chat, host_rules, mixing, token_file
+from querymill.llm import bpe, chat, host_rules, mixing, simhash, token_file
 from querymill.llm.common import read
 
 
@@ -90,6 +90,11 @@ FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """
 
 
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     return bpe.decode(coded).select(
@@ -108,6 +113,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chat": op2_format_chat,
+    "op5_simhash_components": op5_simhash_components,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_token_files": op8_token_files,
     "op9_host_rules": op9_host_rules,
