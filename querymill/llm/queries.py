@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import bpe, chat, host_rules, mixing, simhash, token_file
+from querymill.llm import bpe, chat, host_rules, langid, mixing, simhash, token_file
 from querymill.llm.common import read
 
 
@@ -110,6 +110,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return langid.identify(docs, ["doc_id"]).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chat": op2_format_chat,
@@ -117,5 +122,6 @@ QUERIES = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_token_files": op8_token_files,
     "op9_host_rules": op9_host_rules,
+    "op10_language_id": op10_language_id,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op2_format_chat": OP2_SQL, "op9_host_rules": OP9_SQL}
