@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import bpe, chat, host_rules, langid, mixing, simhash, token_file
+from querymill.llm import ann, bpe, chat, host_rules, langid, mixing, simhash, token_file
 from querymill.llm.common import read
 
 
@@ -105,6 +105,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_file.write_token_files(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return token_file.read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -120,6 +124,7 @@ QUERIES = {
     "op2_format_chat": op2_format_chat,
     "op5_simhash_components": op5_simhash_components,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_token_files": op8_token_files,
     "op9_host_rules": op9_host_rules,
     "op10_language_id": op10_language_id,
