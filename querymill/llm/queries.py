@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import ann, bpe, chat, host_rules, langid, mixing, simhash, token_file
+from querymill.llm import ann, bpe, chat, host_rules, langid, mixing, simhash, suffix_dedup, token_file
 from querymill.llm.common import read
 
 
@@ -90,6 +90,18 @@ FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -122,6 +134,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chat": op2_format_chat,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash_components": op5_simhash_components,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_nearest_neighbours": op7_nearest_neighbours,
