@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import ann, bpe, chat, host_rules, langid, mixing, simhash, suffix_dedup, token_file
+from querymill.llm import ann, bpe, chat, host_rules, langid, mixing, resample, simhash, suffix_dedup, token_file
 from querymill.llm.common import read
 
 
@@ -90,6 +90,19 @@ FROM r JOIN v ON r.source IS NOT DISTINCT FROM v.source
 """
 
 
+def op3_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    good = F.coalesce(F.col("quality") == 1, F.lit(False))
+    found = resample.resample(docs, labels, good, good & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+    return found.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), "kept")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -134,6 +147,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_format_chat": op2_format_chat,
+    "op3_importance_resample": op3_importance_resample,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash_components": op5_simhash_components,
     "op6_bpe_round_trip": op6_bpe_round_trip,
@@ -141,5 +155,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_host_rules": op9_host_rules,
     "op10_language_id": op10_language_id,
+    "pipeline": pipeline,
 }
 SQL = {"op1_mix_sources": OP1_SQL, "op2_format_chat": OP2_SQL, "op9_host_rules": OP9_SQL}
