@@ -44,6 +44,11 @@ def parse_analyzer(analyzer: dict | str | None) -> tuple[str, dict]:
     raise RequestError(f"bad analyzer {analyzer!r}")
 
 
+def needs_python(analyzer: dict | str | None) -> bool:
+    name, options = parse_analyzer(analyzer)
+    return name == "stem" or (name == "custom" and bool(options.get("stem") or options.get("ascii_folding")))
+
+
 def tokens(c: Column, analyzer: dict | str | None) -> Column:
     """The column's tokens in order; null for null."""
     name, options = parse_analyzer(analyzer)

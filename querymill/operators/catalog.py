@@ -146,7 +146,7 @@ class Catalog:
         d = self.definition(name)
         path = self.store.at(d.name, f"gen={self._manifest(d.name)['generation']}")
         df = self.spark.read.schema(d.schema()).parquet(path)
-        return Table(d.name, df, {c.name: c for c in d.columns}, d.key)
+        return Table(d.name, df, {c.name: c for c in d.columns}, d.key).prepared()
 
     def _write_manifest(self, d: Definition, generation: int) -> None:
         self.store.write(self.store.at(d.name, "manifest.json"), json.dumps({"generation": generation, "definition": d.to_json()}))

@@ -61,8 +61,8 @@ def literal(c: ColumnDef, value) -> Column:
     """A request's value as a literal of the column's kind; other kinds of value are refused."""
     kind = c.scalar
     ok = {
-        "integer": isinstance(value, int) and not isinstance(value, bool),
-        "unsigned": isinstance(value, int) and not isinstance(value, bool) and value >= 0,
+        "integer": isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63,
+        "unsigned": isinstance(value, int) and not isinstance(value, bool) and 0 <= value < 2**64,
         "real": isinstance(value, (int, float)) and not isinstance(value, bool),
         "boolean": isinstance(value, bool),
     }.get(kind, isinstance(value, str))
@@ -70,7 +70,7 @@ def literal(c: ColumnDef, value) -> Column:
         raise RequestError(f"{value!r} does not compare with the {kind} column {c.name}")
     try:
         if kind == "unsigned":
-            return F.lit(value).cast("decimal(20,0)")
+            return F.lit(str(value)).cast("decimal(20,0)")
         if kind == "real":
             return F.lit(float(value))
         if kind == "date":

@@ -55,7 +55,7 @@ class ColumnDef:
 
     def data_type(self) -> T.DataType:
         base = KINDS[self.scalar]
-        return T.ArrayType(base, False) if self.is_array else base
+        return T.ArrayType(base) if self.is_array else base
 
 
 @dataclass(frozen=True)
@@ -76,7 +76,7 @@ class Table:
         for f in df.schema.fields:
             kind = kinds.get(f.name) or kind_of(f.dataType)
             columns[f.name] = ColumnDef(f.name, kind, f.nullable, analyzers.get(f.name, "default" if kind.startswith("text") else None))
-        return validated(Table(name, df, columns, key))
+        return validated(Table(name, df, columns, key)).prepared()
 
     def column(self, name: str) -> ColumnDef:
         """The column's definition, by its name in any case."""
@@ -96,15 +96,22 @@ class Table:
     def with_df(self, df: DataFrame) -> Table:
         return replace(self, df=df)
 
+    def prepared(self) -> Table:
+        """With token columns for analyzers that run in Python, whose results cannot be made inside other expressions."""
+        from querymill.functions.text import needs_python
+
+        names = [c.name for c in self.columns.values() if c.scalar == "text" and needs_python(c.analyzer) and c.name not in self.token_columns]
+        return self.with_tokens(*names) if names else self
+
     def with_tokens(self, *names: str) -> Table:
         """Keep token arrays as columns, so that later requests (on a cached or written table) don't tokenise again."""
-        from querymill.functions.text import tokens
+        from querymill.functions.text import array_tokens, tokens
 
         df, kept = self.df, dict(self.token_columns)
         for n in names:
             c = self.column(n)
             kept[c.name] = f"{RESERVED}tokens_{c.name}"
-            df = df.withColumn(kept[c.name], tokens(F.col(c.name), c.analyzer))
+            df = df.withColumn(kept[c.name], (array_tokens if c.is_array else tokens)(F.col(c.name), c.analyzer))
         return replace(self, df=df, token_columns=kept)
 
     def tokens(self, name: str) -> Column:
