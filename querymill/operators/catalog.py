@@ -8,10 +8,12 @@ store that Spark writes to will do. There is one writer at a time.
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 import json
 import threading
 import uuid
+from collections import OrderedDict
 from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
@@ -23,6 +25,9 @@ from querymill.plans.filters import Lowering, literal
 from querymill.table import ColumnDef, RequestError, Table, validated
 
 
+_RESULTS: OrderedDict[tuple, dict] = OrderedDict()
+
+
 class Store:
     """Small text files and folders on Hadoop's file system."""
 
@@ -157,6 +162,20 @@ class Catalog:
         df.select(*[F.col(c.name).cast(c.data_type()).alias(c.name) for c in d.columns]).write.parquet(path)
         self._write_manifest(d, generation)
 
+    def cached_aggregations(self, name: str, request: dict, filter_: dict | None = None, most: int = 128) -> dict:
+        """Nested aggregations (see operators.buckets), kept by table, generation and request until a new generation is published."""
+        from querymill.operators import buckets
+
+        text = json.dumps([request, filter_], sort_keys=True, default=str)
+        key = (self.store.root, self.definition(name).name, self.generation(name), hashlib.sha256(text.encode()).hexdigest())
+        if key in _RESULTS:
+            _RESULTS.move_to_end(key)
+        else:
+            _RESULTS[key] = buckets.nested(self.table(name), request, filter_)
+            while len(_RESULTS) > most:
+                _RESULTS.popitem(last=False)
+        return _RESULTS[key]
+
     # mutations
 
     def _rows(self, table: Table, rows: list[dict]) -> DataFrame:
