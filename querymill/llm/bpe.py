@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,13 @@ PIECE_BYTES = 1 << 15
 WINDOW = 64
 #: Words kept by each of the two generations of a worker's cache, and the longest kept.
 CACHE_WORDS, CACHED_BYTES = 300_000, 40
+#: Marks that a word may end in; after a letter they are tokens of their own.
+MARKS = b'.,!?;:)'
+#: Lower-case letters that are single code points in every normal form the tokenizer uses.
+LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u0148\u014a-\u017e]+")
+NO_RANK = 1 << 40
 #: Text that is split into words at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 22
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,36 +55,130 @@ class WordCoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.tokens = np.array([self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))], dtype=object)
+        self.ends = np.array([t.endswith("</w>") for t in self.tokens])
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self._merge_table()
 
     def raw(self, texts: list[bytes]) -> list[bytes]:
         found = self.tok.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _merge_table(self) -> None:
+        """Ids of the byte symbols (within and at the end of a word), and the pairs that merge, by their ids."""
+        import json
+
+        names = {**{b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}}
+        names |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in names)}
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.inside = np.array([vocab[names[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[names[b] + "</w>"] for b in range(256)], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.loads(self.tok.to_str())["model"]["merges"]]
+        key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(key)
+        self.pair_key, self.pair_rank = key[order], order
+        self.pair_id = np.array([vocab[a + b] for a, b in pairs], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 20 | right
+        at = np.searchsorted(self.pair_key, key)
+        at[at == len(self.pair_key)] = 0
+        return np.where(self.pair_key[at] == key, self.pair_rank[at], NO_RANK)
+
+    def latin(self, words: list[bytes]) -> list[bytes]:
+        """Ids of lower-case words of Latin letters: all words of one length merge together, each its best pair in a round."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n)
+            codes = np.frombuffer(b"".join([words[k] for k in rows.tolist()]), np.uint8).reshape(len(rows), n)
+            ids = np.concatenate([self.inside[codes[:, :-1]], self.final[codes[:, -1:]]], axis=1)
+            rank = np.concatenate([self._rank(ids[:, :-1], ids[:, 1:]), np.full((len(rows), 1), NO_RANK)], axis=1)
+            size = np.full(len(rows), n)
+            live = np.arange(len(rows)) if n > 1 else np.zeros(0, np.int64)
+            while len(live):
+                at = rank[live].argmin(axis=1)
+                best = rank[live, at]
+                live, at, best = live[best < NO_RANK], at[best < NO_RANK], best[best < NO_RANK]
+                if not len(live):
+                    break
+                size[live] -= 1
+                step = np.minimum(np.arange(n)[None] + (np.arange(n)[None] > at[:, None]), n - 1)
+                ids[live] = np.take_along_axis(ids[live], step, 1)
+                rank[live] = np.take_along_axis(rank[live], step, 1)
+                ids[live, at] = self.pair_id[best]
+                rank[live, size[live] - 1] = NO_RANK
+                inner = at < size[live] - 1
+                rank[live[inner], at[inner]] = self._rank(ids[live[inner], at[inner]], ids[live[inner], at[inner] + 1])
+                inner = at > 0
+                rank[live[inner], at[inner] - 1] = self._rank(ids[live[inner], at[inner] - 1], ids[live[inner], at[inner]])
+            raw = ids.astype("<u4")
+            for k, r, m in zip(rows.tolist(), raw, size.tolist()):
+                out[k] = r[:m].tobytes()
+        return out
+
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone."""
+        texts = [w if w.isascii() else low.encode() if LATIN.fullmatch(low := w.decode("utf-8", "replace").lower()) else None for w in words]
+        easy = [k for k, t in enumerate(texts) if t is not None and len(t) <= CACHED_BYTES]
+        hard = [k for k, t in enumerate(texts) if t is None or len(t) > CACHED_BYTES]
+        out = dict(zip(easy, self.latin([texts[k].lower() for k in easy])))
+        out.update(zip(hard, self.joined([words[k] for k in hard])))
+        return [out[k] for k in range(len(words))]
+
+    def joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters of any script, encoded as one text: each ends in the one token that ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.tok.encode(b" ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(words):  # case folding left a mark that is no letter
+            return self.raw(words)
+        raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
     def words(self, text: bytes) -> list[bytes]:
         # ASCII capitals are folded first, which the tokenizer does too; not where a special token may be spelt
         return text.split() if b"<|" in text else text.lower().split()
 
+    def learn(self, ask: list[bytes]) -> None:
+        """Add words to the cache. A word of letters and trailing marks is made of both parts' ids."""
+        new, old = self.new, self.old
+        plain, other, made = set(), set(), []
+        for w in ask:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha() or (not stem.isascii() and stem.decode("utf-8", "replace").isalpha()):
+                marks = w[len(stem) :]
+                if marks:
+                    made.append((w, stem, marks))
+                    if marks not in new:
+                        other.add(marks)
+                if stem not in new:
+                    plain.add(stem)
+            else:
+                other.add(w)
+        for group, encode in ((plain, self.letters), (other, self.raw)):
+            known = [w for w in group if w in old]
+            new.update((w, old[w]) for w in known)
+            todo = list(group.difference(known))
+            for k in range(0, len(todo), 65_536):
+                new.update(zip(part := todo[k : k + 65_536], encode(part)))
+        for w, stem, marks in made:
+            new[w] = new[stem] + new[marks]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         lists = [self.words(t) for t in texts]
-        new, old, ask = self.new, self.old, []
-        for w in {w for ws in lists for w in ws}:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    ask.append(w)
-        for k in range(0, len(ask), 20_000):
-            new.update(zip(part := ask[k : k + 20_000], self.raw(part)))
-        out = [b"".join([new[w] for w in ws]) for ws in lists]
+        new, old = self.new, self.old
+        ask = set().union(*lists).difference(new)
+        known = [w for w in ask if w in old]
+        new.update((w, old[w]) for w in known)
+        self.learn(list(ask.difference(known)))
+        out = [b"".join(map(new.__getitem__, ws)) for ws in lists]
         for w in ask:
             if len(w) > CACHED_BYTES:
                 del new[w]
         if len(new) > CACHE_WORDS:
-            self.old, self.new = new, {}
-            if len(self.old) > 3 * CACHE_WORDS:
-                self.old = {}
+            self.old, self.new = new if len(new) < 3 * CACHE_WORDS else {}, {}
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -91,7 +191,7 @@ def coder(path: str) -> WordCoder:
 
 
 def chunks(column: pa.Array) -> Iterator[list[bytes]]:
-    """Texts as bytes, null as empty, a megabyte at a time."""
+    """Texts as bytes, null as empty, some megabytes at a time."""
     part, size = [], 0
     for x in column.cast(pa.binary()):
         part.append(x.as_py() or b"")
@@ -103,6 +203,14 @@ def chunks(column: pa.Array) -> Iterator[list[bytes]]:
         yield part
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The batch some megabytes of text at a time, with the texts."""
+    at = 0
+    for part in chunks(batch.column(column)):
+        yield batch.slice(at, len(part)), part
+        at += len(part)
+
+
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
@@ -180,18 +288,22 @@ def join_tree(tok, parts: list[tuple[bytes, np.ndarray]]) -> np.ndarray:
     return parts[0][1]
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """Adds `ids` (binary, little-endian unsigned 32-bit) to every row."""
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", piece_bytes: int = PIECE_BYTES, decoded: bool = False) -> DataFrame:
+    """Adds `ids` (binary, little-endian unsigned 32-bit) to every row; if asked for, also `decoded`, what decode gives for them."""
     path = path or tokenizer_path()
-    docs = docs.drop("ids", "_row", "_piece")
+    docs = docs.drop("ids", "decoded", "_row", "_piece")
     fields = docs.schema.fields
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for batch in batches:
-            ids = [x for part in chunks(batch.column(text)) for x in c.encode(part)]
-            yield _with(batch, "ids", pa.array(ids, pa.binary()))
+            for rows, part in slices(batch, text):
+                yield _with(rows, "ids", pa.array(c.encode(part), pa.binary()))
+
+    def run_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in run(batches):
+            yield _with(rows, "decoded", pa.array([coder(path).decode(x.as_py()) for x in rows.column("ids")], pa.string()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
@@ -211,13 +323,15 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", piece_b
         out = group.iloc[:1].copy()
         out["ids"] = [join_tree(coder(path).tok, parts).astype("<u4").tobytes()]
         out[text] = ["".join(group[text])]
-        return out[[f.name for f in fields] + ["ids"]]
+        out["decoded"] = [coder(path).decode(out["ids"].iloc[0])] if decoded else ""
+        return out[[f.name for f in fields] + ["ids"] + ["decoded"] * decoded]
 
     size = F.coalesce(F.octet_length(text), F.lit(0))
-    short = docs.where(size <= piece_bytes).mapInArrow(run, schema)
+    wanted = schema + ", decoded string" * decoded
+    short = docs.where(size <= piece_bytes).mapInArrow(run_both if decoded else run, wanted)
     pieces = docs.where(size > piece_bytes).mapInArrow(cut, schema.removesuffix(", ids binary") + ", _row long, _piece int")
     coded = pieces.repartition("_row", "_piece").mapInArrow(run, schema.removesuffix(", ids binary") + ", _row long, _piece int, ids binary")
-    return short.unionByName(coded.groupBy("_row").applyInPandas(join, schema))
+    return short.unionByName(coded.groupBy("_row").applyInPandas(join, wanted))
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -228,6 +342,8 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         for batch in batches:
-            yield _with(batch, "decoded", pa.array([c.decode(x.as_py() or b"") for x in batch.column(ids)], pa.string()))
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                yield _with(rows, "decoded", pa.array([c.decode(x.as_py() or b"") for x in rows.column(ids)], pa.string()))
 
     return df.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, decoded string")

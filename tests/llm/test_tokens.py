@@ -33,7 +33,7 @@ def test_pieces_and_joins_give_the_ids_of_the_whole(spark, tok):
     texts = HARD + ["".join(rng.choices(letters, k=rng.randint(1, 3000))) for _ in range(40)] + ["".join(rng.choices("theandingo", k=3000)) for _ in range(10)]
     df = spark.createDataFrame([(k, t, "x", k) for k, t in enumerate(texts)], "doc_id long, text string, ids string, _row long")
     for size in (37, 500):
-        for r in bpe.decode(bpe.encode(df, piece_bytes=size)).collect():
+        for r in (bpe.encode(df, piece_bytes=size, decoded=True) if size > 100 else bpe.decode(bpe.encode(df, piece_bytes=size))).collect():
             want = ids_of(tok, texts[r.doc_id])
             assert np.frombuffer(r.ids, "<u4").tolist() == want, (size, texts[r.doc_id] and texts[r.doc_id][:60])
             assert r.decoded == tok.decode(want, skip_special_tokens=False)
