@@ -6,8 +6,10 @@ docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from querymill.llm import bpe, langid, mixing, simhash, suffix_dedup
 from querymill.llm.common import materialize, read
@@ -27,10 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays, that with the smallest doc_id; of rows that repeat it, one.
 
-    Fingerprints are of five-word shingles. Rows without an id stay.
+    Fingerprints and distance are those of the operator: three-word shingles, three bits. Rows without an id stay.
     """
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs, words=5)
+    found = simhash.near_duplicates(docs)
     out = found.where(F.col("doc_id") != F.coalesce("component_id", "doc_id")).select("doc_id").distinct()
     repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
     kept = docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
@@ -40,12 +42,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(single)
 
 
+@F.pandas_udf(StringType())
+def valid_text(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
+
+
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that a document with a smaller id has go; parts of characters at the cuts go with them."""
     found = suffix_dedup.deduplicate(docs.select(*COLUMNS))
     whole = F.size("removed") == 0
-    valid = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
-    text = F.when(whole, F.col("text")).otherwise(valid)
+    cut = valid_text(F.when(~whole, F.col("kept")))  # null, and so not sent to Python as text, where nothing was removed
+    text = F.when(whole, F.col("text")).otherwise(cut)
     return found.withColumn("text", text).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
@@ -56,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, with digests of the ids and of the text they decode to."""
-    coded = bpe.decode(bpe.encode(docs.select(*COLUMNS)).drop("text"))
+    coded = bpe.encode(docs.select(*COLUMNS), decoded=True)
     return coded.select("doc_id", "lang", "source", "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

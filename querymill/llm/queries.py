@@ -121,8 +121,7 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return bpe.decode(coded).select(
+    return bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
