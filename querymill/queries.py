@@ -416,9 +416,9 @@ def _(s, d):
     return page(orders(s, d), ["o_orderkey", "o_totalprice"], [{"column": "o_totalprice"}], limit=20, offset=40)
 
 
-@query("o12_search_after", "SELECT o_orderkey, o_orderdate FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1997-03-01 00:00:00', 500) ORDER BY o_orderdate, o_orderkey LIMIT 60")
+@query("o12_search_after", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1997-03-01 00:00:00', 500) ORDER BY o_orderdate, o_orderkey LIMIT 60")
 def _(s, d):
-    return page(orders(s, d), ["o_orderkey", "o_orderdate"], [{"column": "o_orderdate"}], limit=60, search_after=["1997-03-01T00:00:00", 500])
+    return page(orders(s, d), ["o_orderkey", "o_orderdate"], [{"column": "o_orderdate"}], limit=60, search_after=["1997-03-01T00:00:00", 500]).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 @query("x06_list_rows", "SELECT * FROM supplier ORDER BY s_suppkey LIMIT 25 OFFSET 5")
@@ -426,10 +426,10 @@ def _(s, d):
     return reads.list_rows(Table.of(_load(s, d, "supplier"), "s_suppkey"), limit=25, offset=5)
 
 
-@query("baseline_filter_sort_page", "SELECT event_id, ts, value FROM events WHERE event_type = 'error' AND value BETWEEN 50 AND 200 ORDER BY ts DESC, event_id LIMIT 20")
+@query("baseline_filter_sort_page", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, value FROM events WHERE event_type = 'error' AND value BETWEEN 50 AND 200 ORDER BY ts DESC, event_id LIMIT 20")
 def _(s, d):
     f = {"kind": "all", "filters": [cmp("event_type", "equal", "error"), {"kind": "between", "column": "value", "lower": 50, "upper": 200}]}
-    return page(events(s, d), ["event_id", "ts", "value"], [{"column": "ts", "descending": True}], filter=f, limit=20)
+    return page(events(s, d), ["event_id", "ts", "value"], [{"column": "ts", "descending": True}], filter=f, limit=20).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "value")
 
 
 @query("baseline_key_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
@@ -775,7 +775,7 @@ def _(s, d):
     return c.table("orders").df.select(*_STATE)
 
 
-@query("m09_schema_change", f"SELECT o_orderkey, o_custkey::DOUBLE AS customer, 7 AS extra FROM {ORDERS}")
+@query("m09_schema_change", f"SELECT o_orderkey, o_custkey::DOUBLE AS customer, 7::BIGINT AS extra FROM {ORDERS}")
 def _(s, d):
     from querymill.table import ColumnDef
 
