@@ -148,3 +148,27 @@ def test_streamed_upserts_replay_safely(books, tmp_path):
     for _ in range(2):
         upserts.upsert_stream(books, "books", upserts.parquet_stream(books, "books", folder), str(tmp_path / "progress")).awaitTermination()
     assert [r[:2] for r in rows(books)] == [(1, "one"), (2, "streamed"), (3, "three"), (8, "eight")]
+
+
+def test_cached_aggregations_follow_the_generation(books):
+    request = {"n": {"kind": "metric", "function": "count"}}
+    first = books.cached_aggregations("books", request)
+    assert first["n"]["value"] == 3 and books.cached_aggregations("volumes", request) is first
+    books.delete("books", equal("id", 1))
+    assert books.cached_aggregations("books", request)["n"]["value"] == 2
+
+
+def test_command_line(books, tmp_path, monkeypatch, capsys):
+    import sys
+
+    from querymill import __main__ as cli
+
+    request = tmp_path / "request.json"
+    request.write_text(json.dumps({"projection": [{"kind": "column", "column": "title"}], "order_by": [{"column": "id"}], "limit": 2}))
+    monkeypatch.setattr(sys, "argv", ["querymill", books.store.root, "books", "read", str(request)])
+    cli.main()
+    assert [json.loads(x) for x in capsys.readouterr().out.split("\n") if x] == [{"title": "one"}, {"title": "two"}]
+    request.write_text(json.dumps({"aggregations": {"n": {"kind": "metric", "function": "count"}}}))
+    monkeypatch.setattr(sys, "argv", ["querymill", books.store.root, "books", "aggregate", str(request)])
+    cli.main()
+    assert json.loads(capsys.readouterr().out)["n"]["value"] == 3
