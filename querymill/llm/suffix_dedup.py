@@ -11,14 +11,16 @@ the suffixes of the corpus:
    texts share a minimizer, single windows are sent instead, to the buckets of their own hashes, so that a passage
    with many different surroundings fills no bucket.
 3. Transforms. In a bucket, segments with the same minimizers lie together in shards. Each shard gets the Burrows-
-   Wheeler transform of its own segments (symbols are the STEP bytes before a suffix), and the shards' transforms are
-   merged: from the interleave by the first h bytes, the stable order of the symbols gives that by h + STEP, until MATCH
+   Wheeler transform of its own segments (symbols are the `step` bytes before a suffix), and the shards' transforms are
+   merged: from the interleave by the first h bytes, the stable order of the symbols gives that by h + step, until MATCH
    bytes are ordered. The blocks that never were told apart have a common prefix of MATCH bytes: the repeated
    intervals. Each takes the smallest id in it.
-4. The intervals' ids go back to the chunks, and windows whose id is smaller than their document's are removed.
+4. The intervals' ids go back to the chunks, which find their segments again in the same (sorted) order, and windows
+   whose id is smaller than their document's are removed.
 
-Every table between these is keyed by chunk or bucket, of sizes that do not depend on the keys' frequencies; hot
-strings are combined within chunks before they are sent. Matches are compared on the input's bytes, not on hashes.
+All steps are one plan: the texts are shuffled once, by chunk, and that exchange serves steps 1, 2 and 4. Every table
+between them is keyed by chunk or bucket, of sizes that do not depend on the keys' frequencies; hot strings are
+combined within chunks before they are sent. Matches are compared on the input's bytes; hashes only rule windows out.
 
 Defined results: null text is empty; texts under MATCH bytes lose nothing; a null id counts as larger than all; rows
 that repeat an id take nothing from each other; an empty table gives an empty result.
@@ -32,18 +34,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from querymill.llm.common import materialize
+from pyspark.sql.pandas.types import to_arrow_schema
 
 MATCH, ANCHOR = 50, 20
 SPAN = MATCH - ANCHOR + 1
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 HOT_TEXTS = 2000
 #: Bytes of segments merged at a time, and of those in a shard.
-MERGE_BYTES, SHARD_BYTES = 1 << 19, 1 << 14
+MERGE_BYTES, SHARD_BYTES = 1 << 18, 1 << 14
+#: Letters ordered by one round of a merge: the first that gives few enough symbols.
+STEPS = (5, 2, 1)
 #: Text that minimizers are taken from at a time.
 PASS_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
+#: Minimizers are sent as six bytes; more collisions would only mean more segments.
+KEEP = np.uint64((1 << 48) - 1)
 PRIME = 1099511628211
 
 
@@ -92,7 +97,7 @@ def window_runs(texts: list[bytes]):
             text = np.searchsorted(ends, at, side="right")
             until = np.minimum(np.append(at[1:], len(least)), ends[text] - MATCH + 1)
             ok = until > at
-            yield body, text[ok] + k, at[ok], (until - at)[ok], least[at[ok]], starts
+            yield body, text[ok] + k, at[ok], (until - at)[ok], least[at[ok]] & KEEP, starts
         k = stop
 
 
@@ -119,20 +124,75 @@ def _by(keys: np.ndarray):
         yield int(keys[part[0]]), part
 
 
-def _reduced(h: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray):
+def _six(h: np.ndarray) -> bytes:
+    """The hashes' low six bytes."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _hashes(raw: list[bytes]) -> np.ndarray:
+    six = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<u8").reshape(-1)
+
+
+def _counted(h: np.ndarray, n: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes, the sums of n, and whether any is marked as of several documents."""
     order = np.argsort(h, kind="stable")
     h = h[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     if not len(at):
-        return h, low, high, n
-    return h[at], np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), np.add.reduceat(n[order], at)
+        return h, n, several
+    return h[at], np.add.reduceat(n[order], at), np.maximum.reduceat(several[order], at)
 
 
-def shard_transforms(strings: list[bytes], step: int):
+class Located:
+    """The shared windows of a chunk's texts, as segments. Two calls on the same rows, in any order, number them alike."""
+
+    def __init__(self, texts: list[bytes], least: np.ndarray, h: np.ndarray, hot: np.ndarray, n_buckets: int) -> None:
+        from xxhash import xxh64_intdigest
+
+        order = np.argsort(h)
+        h, hot = h[order], hot[order]
+        number: dict[bytes, int] = {}
+        ids, keys = [], []
+        found: dict[int, tuple[list, list, list]] = {}
+        for body, text_no, at, n, mark, starts in window_runs(texts) if len(h) else ():
+            where = np.searchsorted(h, mark)
+            where[where == len(h)] = 0
+            hit = np.flatnonzero(h[where] == mark)
+            base = text_no[0] - np.searchsorted(starts, at[0], side="right") + 1 if len(at) else 0
+            for t, p, w, m, warm in zip(text_no[hit].tolist(), at[hit].tolist(), n[hit].tolist(), mark[hit].tolist(), hot[where[hit]].tolist()):
+                own_id, (ps, ws, ks) = int(least[t]), found.setdefault(t, ([], [], []))
+                begin = int(starts[t - base])
+                size = 1 if warm else SPAN
+                for q in range(p, p + w, size):
+                    windows = min(size, p + w - q)
+                    s = body[q : q + windows + MATCH - 1]
+                    k = number.setdefault(s, len(number))
+                    if k == len(ids):
+                        ids.append(own_id)
+                        keys.append(xxh64_intdigest(s) & int(KEEP) if warm else m)
+                    elif own_id < ids[k]:
+                        ids[k] = own_id
+                    ps.append(q - begin)
+                    ws.append(windows)
+                    ks.append(k)
+        by_bytes = sorted(number)
+        order = np.array([number[s] for s in by_bytes], np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.strings = by_bytes
+        self.ids, self.keys = np.array(ids, np.int64)[order], np.array(keys, np.uint64)[order]
+        self.texts = {t: (np.array(ps), np.array(ws), rank[np.array(ks)]) for t, (ps, ws, ks) in found.items()}
+        self.buckets = list(_by((self.keys % np.uint64(n_buckets)).astype(np.int64)))
+
+
+def shard_transforms(strings: list[bytes]):
     """The shards' suffix orders and transforms, one shard after the other.
 
-    Returns (symbols, order, shard sizes, string of each suffix, bytes left in its string): suffixes are rotations of
-    a string with its end mark, `order` sorts those of each shard, `symbols` are the `step` letters before them.
+    Returns (symbols, order, shard sizes, string of each suffix, step): suffixes are rotations of a string with its end
+    mark, `order` sorts those of each shard, `symbols` are the `step` letters before them, numbered in their order.
     """
     sizes = np.array([len(s) + 1 for s in strings])
     ends = np.cumsum(sizes)
@@ -142,37 +202,43 @@ def shard_transforms(strings: list[bytes], step: int):
     owner = np.repeat(np.arange(len(strings)), sizes)
     first, length = (ends - sizes)[owner], sizes[owner]
     place = np.arange(n) - first
-    ahead = lambda k: first + (place + k) % length
-    shard = (ends - 1)[owner] // SHARD_BYTES
+    one = np.arange(1, n + 1)
+    one[ends - 1] = ends - sizes
+
+    def ahead(k: int) -> np.ndarray:
+        at = place + k
+        while (over := at >= length).any():
+            at -= np.where(over, length, 0)
+        return first + at
+
+    for step in STEPS:
+        gram, nxt = np.zeros(n, np.int64), np.arange(n)
+        for _ in range(step):
+            gram = (gram << 9) | letters[nxt]
+            nxt = one[nxt]
+        known, gram = np.unique(gram, return_inverse=True)
+        if len(known) <= 1 << 16:
+            break
+    shard = ((ends - 1) // SHARD_BYTES)[owner]
     shard = np.cumsum(np.concatenate([[0], np.diff(shard) != 0]))
-    # order by shard, then the first six letters, then twice as many in each round
-    key, nxt = np.zeros(n, np.int64), np.arange(n)
-    one = ahead(1)
-    for _ in range(6):
-        key = (key << 9) | letters[nxt]
-        nxt = one[nxt]
-    by = np.lexsort((key, shard))
-    rank = _ranks(by, key, shard)
-    known = 6
-    while known < int(sizes.max()) and int(rank[by[-1]]) < n - 1:
-        key = rank * n + rank[ahead(known)]
-        by = np.argsort(key, kind="stable")
-        rank = _ranks(by, key)
-        known *= 2
-    before, at = np.zeros(n, np.int64), ahead(-step)
-    for _ in range(step):
-        before = (before << 9) | letters[at]
-        at = one[at]
-    return before[by], by, np.bincount(shard), owner, length - 1 - place
-
-
-def _ranks(by: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(by), np.int64)
-    for k in keys:
-        new[1:] |= k[by[1:]] != k[by[:-1]]
+    # order by shard, then the first `step` letters, then twice as many in each round
+    by, rank = _ranked(shard << 16 | gram)
+    deep, longest = step, int(sizes.max())
+    while deep < longest and int(rank[by[-1]]) < n - 1:
+        by, rank = _ranked(rank * n + rank[ahead(deep)])
+        deep *= 2
+    symbols = np.empty(n, np.uint16)
+    symbols[nxt] = gram  # nxt lies `step` letters ahead
+    return symbols[by], by, np.bincount(shard), owner, step
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and each key's rank in it (equal for equal keys)."""
+    by = np.argsort(key)
+    key = key[by]
     rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(new)
-    return rank
+    rank[by] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    return by, rank
 
 
 def merge_transforms(symbols: np.ndarray, sizes: np.ndarray, step: int, depth: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
@@ -192,12 +258,8 @@ def merge_transforms(symbols: np.ndarray, sizes: np.ndarray, step: int, depth: i
 
 def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     """For each string, the least id of the strings that hold each of its windows."""
-    for step in (5, 2, 1):
-        symbols, by, sizes, owner, left = shard_transforms(strings, step)
-        letters, symbols = np.unique(symbols, return_inverse=True)
-        if len(letters) <= 1 << 16:
-            break
-    interleave, block = merge_transforms(symbols.astype(np.uint16), sizes, step)
+    symbols, by, sizes, owner, step = shard_transforms(strings)
+    interleave, block = merge_transforms(symbols, sizes, step)
     suffix = np.empty(len(by), np.int64)
     suffix[np.argsort(interleave, kind="stable")] = by
     at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -208,10 +270,6 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
     return [out[e - len(s) - 1 : e - MATCH] for s, e in zip(strings, ends.tolist())]
 
 
-def _raw(*arrays: np.ndarray) -> list[bytes]:
-    return [a.tobytes() for a in arrays]
-
-
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns, `kept` (binary, the bytes that stay) and `removed` (array of start, stop: the maximal removed runs)."""
     docs = docs.drop("kept", "removed", "_chunk")
@@ -222,93 +280,82 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     n_chunks, n_buckets = max(1, math.ceil(total / CHUNK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
     dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_chunks)))
     place = {n: k for k, n in enumerate([*names, "_chunk"])}
+    arrow_own = list(to_arrow_schema(docs.schema))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def columns(table: pa.Table) -> tuple[list, list[bytes]]:
         return table.column(place[key]).to_pylist(), [x or b"" for x in table.column(place[text]).cast(pa.binary()).to_pylist()]
 
+    def made(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], names=list(kinds))
+
     def anchors(table: pa.Table) -> pa.Table:
+        """By bucket: the chunk's distinct minimizers, and one byte each: texts that have it (127 at most) and, as a bit, several ids."""
         chunk = table.column(place["_chunk"])[0].as_py()
-        texts, least, most, rows = _distinct(*columns(table))
-        n = np.bincount(rows, minlength=len(texts))
-        parts = [_reduced(h, least[t], most[t], np.ones(len(t), np.int64)) for _, t, _, _, h, _ in window_runs(texts)]
-        h, low, high, n = _reduced(*(np.concatenate(x) for x in zip(*parts))) if parts else (np.zeros(0, np.uint64),) * 4
-        out = [(b, chunk, *_raw(h[at], low[at], high[at], n[at])) for b, at in _by((h % np.uint64(n_buckets)).astype(np.int64))]
-        return pa.Table.from_arrays([pa.array(x) for x in zip(*out)] if out else [pa.array([], k) for k in (pa.int64(),) * 2 + (pa.binary(),) * 4], names=["_bucket", "_chunk", "h", "low", "high", "n"])
+        texts, least, most, _ = _distinct(*columns(table))
+        parts = []
+        for _, t, _, _, h, _ in window_runs(texts):
+            order = np.lexsort((t, h))
+            h, t = h[order], t[order]
+            once = np.ones(len(h), bool)  # a text counts once
+            once[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+            parts.append((h[once], least[t[once]], most[t[once]]))
+        h, low, high = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(h, kind="stable")
+        h, low, high = h[order], low[order], high[order]
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        if not len(at):
+            return made([], _bucket=pa.int64(), _chunk=pa.int64(), h=pa.binary(), n=pa.binary())
+        several = np.minimum.reduceat(low, at) != np.maximum.reduceat(high, at)
+        n = np.minimum(np.diff(np.append(at, len(h))), 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
+        h = h[at]
+        return made([(b, chunk, _six(h[p]), n[p].tobytes()) for b, p in _by((h % np.uint64(n_buckets)).astype(np.int64))], _bucket=pa.int64(), _chunk=pa.int64(), h=pa.binary(), n=pa.binary())
 
     def shared(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in table.column_names}
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in cols["h"]])
-        low, high, n = (np.concatenate([np.frombuffer(x, np.int64) for x in cols[c]]) for c in ("low", "high", "n"))
-        chunk = np.repeat(np.array(cols["_chunk"]), [len(x) // 8 for x in cols["h"]])
-        hs, lows, highs, ns = _reduced(h, low, high, n)
+        """Back to each chunk: its minimizers that other chunks, or several of its ids, have too, and whether many texts do."""
+        raw, chunks_ = table.column("h").to_pylist(), np.array(table.column("_chunk").to_pylist())
+        h, n = _hashes(raw), np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint8)
+        chunk = np.repeat(chunks_, [len(x) // 6 for x in raw])
+        hs, ns, several = _counted(h, (n & 127).astype(np.int64), n >> 7)
         at = np.searchsorted(hs, h)
-        take = np.flatnonzero(lows[at] != highs[at])
+        held = np.bincount(at, minlength=len(hs))
+        take = np.flatnonzero((several[at] > 0) | (held[at] > 1))
         hot = ns[at] > HOT_TEXTS
-        out = [(c, *_raw(h[take[p]], hot[take[p]])) for c, p in _by(chunk[take])]
-        return pa.Table.from_arrays([pa.array(x) for x in zip(*out)] if out else [pa.array([], k) for k in (pa.int64(), pa.binary(), pa.binary())], names=["_chunk", "h", "hot"])
+        return made([(c, None, _six(h[take[p]]), hot[take[p]].tobytes(), None) for c, p in _by(chunk[take])], **answer)
 
-    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    internal = ["_chunk", "_kind", "_bucket", "_a", "_b", "_c", "_d", "_e"]
+    answer = {"_chunk": pa.int64(), "_bucket": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+    answer_ddl = "_chunk long, _bucket long, a binary, b binary, c binary"
 
-    def segments(table: pa.Table, marks: pa.Table) -> pa.Table:
-        """Rows of kind 0 (documents without a shared window), 1 (with the places of their segments) and 2 (segments by bucket)."""
-        if not table.num_rows:
-            return pa.Table.from_arrays([pa.array([], f.type) for f in arrow_own] + [pa.array([], k) for k in kinds], names=[*names, *internal])
-        from xxhash import xxh64_intdigest
+    def located(table: pa.Table, marks: pa.Table) -> tuple[Located, list[bytes], list[int], list]:
+        ids, bodies = columns(table)
+        texts, least, _, rows = _distinct(ids, bodies)
+        h = _hashes(marks.column("a").to_pylist())
+        hot = np.frombuffer(b"".join(marks.column("b").to_pylist()), bool)
+        return Located(texts, least, h, hot, n_buckets), texts, rows, ids
 
+    def segments(table: pa.Table, marks: pa.Table) -> pa.Table:
+        """The chunk's distinct segments, by bucket."""
+        kinds = {"_bucket": pa.int64(), "_chunk": pa.int64(), "body": pa.binary(), "sizes": pa.binary(), "ids": pa.binary(), "keys": pa.binary()}
+        if not table.num_rows or not marks.num_rows:
+            return made([], **kinds)
         chunk = table.column(place["_chunk"])[0].as_py()
-        texts, least, _, rows = _distinct(*columns(table))
-        h = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in marks.column("h").to_pylist()]])
-        hot = np.concatenate([np.zeros(0, bool), *[np.frombuffer(x, bool) for x in marks.column("hot").to_pylist()]])
-        order = np.argsort(h)
-        h, hot = h[order], hot[order]
-        number: dict[bytes, int] = {}
-        ids, keys = [], []
-        found: dict[int, tuple[list, list, list]] = {}
-        for body, text_no, at, n, mark, starts in window_runs(texts) if len(h) else ():
-            where = np.searchsorted(h, mark)
-            where[where == len(h)] = 0
-            hit = np.flatnonzero(h[where] == mark)
-            base = text_no[0] - np.searchsorted(starts, at[0], side="right") + 1 if len(at) else 0
-            for t, p, w, m, warm in zip(text_no[hit].tolist(), at[hit].tolist(), n[hit].tolist(), mark[hit].tolist(), hot[where[hit]].tolist()):
-                own_id, (ps, ws, ks) = int(least[t]), found.setdefault(t, ([], [], []))
-                begin = int(starts[t - base])
-                size = 1 if warm else SPAN
-                for q in range(p, p + w, size):
-                    windows = min(size, p + w - q)
-                    s = body[q : q + windows + MATCH - 1]
-                    k = number.setdefault(s, len(number))
-                    if k == len(ids):
-                        ids.append(own_id)
-                        keys.append(xxh64_intdigest(s) if warm else m)
-                    elif own_id < ids[k]:
-                        ids[k] = own_id
-                    ps.append(q - begin)
-                    ws.append(windows)
-                    ks.append(k)
-        blobs = {t: _raw(np.array(ps, "<u4"), np.array(ws, "<u1"), np.array(ks, "<u4")) for t, (ps, ws, ks) in found.items()}
-        own_rows = [blobs.get(k) for k in rows]
-        extra = [[chunk] * len(rows), [1 if b else 0 for b in own_rows], [None] * len(rows), *[[b[j] if b else None for b in own_rows] for j in range(3)], [None] * len(rows), [None] * len(rows)]
-        out = [pa.Table.from_arrays([c.combine_chunks() for c in table.columns[: len(names)]] + [pa.array(x, k) for x, k in zip(extra, kinds)], names=[*names, *internal])]
-        strings = list(number)
-        ids_, keys_ = np.array(ids, np.int64), np.array(keys, np.uint64)
-        made = []
-        for b, part in _by((keys_ % np.uint64(n_buckets)).astype(np.int64)):
-            picked = [strings[j] for j in part.tolist()]
-            made.append((chunk, 2, b, b"".join(picked), *_raw(np.array([len(s) for s in picked], "<u1"), ids_[part], part.astype("<u4"), keys_[part])))
-        if made:
-            out.append(pa.Table.from_arrays([pa.nulls(len(made), f.type) for f in arrow_own] + [pa.array(x, k) for x, k in zip(zip(*made), kinds)], names=[*names, *internal]))
-        return pa.concat_tables([t.cast(out[0].schema) for t in out])
+        x, *_ = located(table, marks)
+        out = []
+        for b, part in x.buckets:
+            picked = [x.strings[j] for j in part.tolist()]
+            out.append((b, chunk, b"".join(picked), np.array([len(s) for s in picked], np.uint8).tobytes(), x.ids[part].tobytes(), _six(x.keys[part])))
+        return made(out, **kinds)
 
     def merge(table: pa.Table) -> pa.Table:
+        """Back to each chunk: the runs of windows with one least id, of each of its segments in the order sent."""
         number: dict[bytes, int] = {}
         ids: list[int] = []
         keys: list[int] = []
         asked = []
-        for chunk, body, sizes, low, part, key_ in zip(*(table.column(c).to_pylist() for c in ("_chunk", "_a", "_b", "_c", "_d", "_e"))):
+        for chunk, bucket, body, sizes, low, key_ in zip(*(table.column(c).to_pylist() for c in ("_chunk", "_bucket", "body", "sizes", "ids", "keys"))):
             ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64).tolist()
             mine, begin = [], 0
-            for e, i, m in zip(ends, np.frombuffer(low, np.int64).tolist(), np.frombuffer(key_, np.uint64).tolist()):
+            for e, i, m in zip(ends, np.frombuffer(low, np.int64).tolist(), _hashes([key_]).tolist()):
                 k = number.setdefault(body[begin:e], len(number))
                 if k == len(ids):
                     ids.append(i)
@@ -317,65 +364,68 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     ids[k] = i
                 mine.append(k)
                 begin = e
-            asked.append((chunk, np.array(mine), part))
+            asked.append((chunk, bucket, mine))
         strings, ids_ = list(number), np.array(ids, np.int64)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        sizes = np.array([len(s) + 1 for s in strings])
-        sorted_keys = np.array(keys, np.uint64)[order]
-        filled = np.cumsum(sizes[order])
+        keys_ = np.array(keys, np.uint64)
+        order = np.argsort(keys_, kind="stable")
+        keys_ = keys_[order]
+        filled = np.cumsum(np.array([len(s) + 1 for s in strings])[order])
         runs: list = [None] * len(strings)
         begin = 0
         while begin < len(order):
             stop = int(np.searchsorted(filled, (filled[begin - 1] if begin else 0) + MERGE_BYTES))
-            stop = int(np.searchsorted(sorted_keys, sorted_keys[min(max(stop, begin + 1), len(order)) - 1], side="right"))
+            stop = int(np.searchsorted(keys_, keys_[min(max(stop, begin + 1), len(order)) - 1], side="right"))
             part = order[begin:stop].tolist()
             for k, w in zip(part, least_ids([strings[k] for k in part], ids_[part])):
                 cut = np.flatnonzero(np.diff(w))
                 runs[k] = (np.append(cut + 1, len(w)), w[np.append(cut, len(w) - 1)])
             begin = stop
         out = []
-        for chunk, mine, part in asked:
-            own_runs = [runs[k] for k in mine.tolist()]
-            counts = np.array([len(u) for u, _ in own_runs], "<u4")
-            out.append((chunk, part, *_raw(counts, np.concatenate([u for u, _ in own_runs]).astype("<u1"), np.concatenate([v for _, v in own_runs]).astype("<i8"))))
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), [pa.int64(), *[pa.binary()] * 4])], names=["_chunk", "part", "counts", "until", "least"])
+        for chunk, bucket, mine in asked:
+            own_runs = [runs[k] for k in mine]
+            out.append((chunk, bucket, np.array([len(u) for u, _ in own_runs], np.uint8).tobytes(), np.concatenate([u for u, _ in own_runs]).astype(np.uint8).tobytes(), np.concatenate([v for _, v in own_runs]).tobytes()))
+        return made(out, **answer)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return empty_out
-        parts = [(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), np.frombuffer(c, "<u1"), np.frombuffer(d, "<i8")) for a, b, c, d in zip(*(answers.column(x).to_pylist() for x in ("part", "counts", "until", "least")))]
-        seg, counts, until, low = (np.concatenate(x) for x in zip(*parts))
-        run_seg = np.repeat(seg, counts)
-        order = np.argsort(run_seg, kind="stable")
-        run_seg, until, low = run_seg[order], until[order].astype(np.int64), low[order]
-        since = np.concatenate([[0], np.where(run_seg[1:] == run_seg[:-1], until[:-1], 0)])
+        shape = [c.combine_chunks() for c in table.columns[: len(names)]] if table.num_rows else [pa.array([], f.type) for f in arrow_own]
         kept, removed = [], []
-        for d, t, ps, ks in zip(*columns(table), table.column("_a").to_pylist(), table.column("_c").to_pylist()):
-            p, k = np.frombuffer(ps, "<u4").astype(np.int64), np.frombuffer(ks, "<u4")
-            a, b = np.searchsorted(run_seg, k), np.searchsorted(run_seg, k, side="right")
-            n = b - a
-            r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            gone = low[r] < (NO_ID if d is None else d)
-            p = np.repeat(p, n)[gone]
-            step = np.zeros(len(t) + 1, np.int64)
-            np.add.at(step, p + since[r[gone]], 1)
-            np.add.at(step, p + until[r[gone]] + MATCH - 1, -1)
-            out = np.cumsum(step[:-1]) > 0
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
-            removed.append([{"start": int(x), "stop": int(y)} for x, y in zip(edge[::2], edge[1::2])])
-            kept.append(np.frombuffer(t, np.uint8)[~out].tobytes())
-        return pa.Table.from_arrays([c.combine_chunks() for c in table.columns[: len(names)]] + [pa.array(kept, pa.binary()), pa.array(removed, span)], names=[*names, "kept", "removed"])
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_own = list(to_arrow_schema(docs.schema))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    empty_out = pa.Table.from_arrays([pa.array([], f.type) for f in arrow_own] + [pa.array([], pa.binary()), pa.array([], span)], names=[*names, "kept", "removed"])
-
-    hashed = dealt.groupBy("_chunk").applyInArrow(anchors, "_bucket long, _chunk long, h binary, low binary, high binary, n binary")
-    marked = hashed.groupBy("_bucket").applyInArrow(shared, "_chunk long, h binary, hot binary")
-    cut = materialize(dealt.groupBy("_chunk").cogroup(marked.groupBy("_chunk")).applyInArrow(segments, f"{own}, _chunk long, _kind int, _bucket long, _a binary, _b binary, _c binary, _d binary, _e binary"))
-    merged = cut.where("_kind = 2").select("_chunk", "_bucket", "_a", "_b", "_c", "_d", "_e").groupBy("_bucket").applyInArrow(merge, "_chunk long, part binary, counts binary, until binary, least binary")
-    touched = cut.where("_kind = 1").select(*names, "_chunk", "_a", "_c").groupBy("_chunk").cogroup(merged.groupBy("_chunk")).applyInArrow(remove, f"{own}, kept binary, removed array<struct<start:long,stop:long>>")
-    clean = cut.where("_kind = 0").select(*names, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("kept"), F.array().cast("array<struct<start:long,stop:long>>").alias("removed"))
-    return clean.unionByName(touched)
+        if table.num_rows:
+            is_mark = np.array([x is None for x in answers.column("_bucket").to_pylist()], bool)
+            x, texts, rows, ids = located(table, answers.filter(pa.array(is_mark)))
+            found = {b: (np.frombuffer(c, np.uint8), np.frombuffer(u, np.uint8), np.frombuffer(v, np.int64)) for b, c, u, v in zip(*(answers.filter(pa.array(~is_mark)).column(c).to_pylist() for c in ("_bucket", "a", "b", "c")))}
+            counts = np.zeros(len(x.strings), np.int64)
+            for b, part in x.buckets:
+                counts[part] = found[b][0]
+            first = np.cumsum(counts) - counts
+            until, low = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
+            for b, part in x.buckets:
+                n = counts[part]
+                to = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
+                until[to], low[to] = found[b][1], found[b][2]
+            since = np.concatenate([[0], until[:-1]]) if len(until) else until
+            since[first] = 0
+            for d, k in zip(ids, rows):
+                if k not in x.texts:
+                    kept.append(texts[k])
+                    removed.append([])
+                    continue
+                body = np.frombuffer(texts[k], np.uint8)
+                step = np.zeros(len(body) + 1, np.int32)
+                p, _, seg = x.texts[k]
+                n = counts[seg]
+                r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[seg], n)
+                gone = low[r] < (NO_ID if d is None else d)
+                p, r = np.repeat(p, n)[gone], r[gone]
+                np.add.at(step, p + since[r], 1)
+                np.add.at(step, p + until[r] + MATCH - 1, -1)
+                out = np.cumsum(step[:-1]) > 0
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
+                removed.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2])])
+                kept.append(body[~out].tobytes())
+        return pa.Table.from_arrays([*shape, pa.array(kept, pa.binary()), pa.array(removed, span)], names=[*names, "kept", "removed"])
+
+    hashed = dealt.groupBy("_chunk").applyInArrow(anchors, "_bucket long, _chunk long, h binary, n binary")
+    marked = hashed.groupBy("_bucket").applyInArrow(shared, answer_ddl)
+    cut = dealt.groupBy("_chunk").cogroup(marked.groupBy("_chunk")).applyInArrow(segments, "_bucket long, _chunk long, body binary, sizes binary, ids binary, keys binary")
+    merged = cut.groupBy("_bucket").applyInArrow(merge, answer_ddl)
+    return dealt.groupBy("_chunk").cogroup(marked.unionByName(merged).groupBy("_chunk")).applyInArrow(remove, f"{own}, kept binary, removed array<struct<start:long,stop:long>>")
