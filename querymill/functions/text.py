@@ -17,6 +17,11 @@ from querymill.table import RequestError
 LONGEST = 40
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(v) with v computed once for a row, also where body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _simple(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda t: F.octet_length(t) < LONGEST)
 

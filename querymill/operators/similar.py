@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querymill.functions.text import bind
 from querymill.plans.filters import Lowering, holds
-from querymill.plans.scoring import B, K1, phrase_count
+from querymill.plans.scoring import bm25
 from querymill.table import RequestError, Table
 
 
@@ -42,10 +43,9 @@ def more_like_this(
             df = df.where(F.col("df") <= max_doc_frequency)
         idf = F.log(1 + (F.lit(size["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         best = df.withColumn("idf", idf).orderBy(F.desc(F.col("tf") * F.col("idf")), "term").limit(max_query_terms).collect()
-        norm = F.lit(K1 * (1 - B)) + F.lit(K1 * B) * F.size(tokens) / F.lit(size["length"] or 1.0)
-        for r in best:
-            tf = phrase_count(tokens, [r["term"]]).cast("double")
-            parts.append(F.coalesce(F.when(tf > 0, F.lit(boost * r["idf"] * (K1 + 1)) * tf / (tf + norm)), F.lit(0.0)))
+        terms = [(r["term"], boost * r["idf"]) for r in best]
+        if terms:
+            parts.append(F.coalesce(bind(tokens, _summed(terms, size["length"] or 1.0)), F.lit(0.0)))
         if best:
             where.append(holds(F.arrays_overlap(tokens, F.array(*[F.lit(r["term"]) for r in best]))))
     if not parts:
@@ -53,3 +53,7 @@ def more_like_this(
     found = table.df.where(reduce(lambda a, b: a | b, where) & (F.col(table.key) != F.lit(key_value)))
     found = found.where(lowering.where(filter_)) if filter_ else found
     return found.withColumn("_score", reduce(lambda a, b: a + b, parts)).orderBy(F.desc("_score"), table.key).limit(limit)
+
+
+def _summed(terms: list[tuple[str, float]], average_length: float):
+    return lambda ts: reduce(lambda a, b: a + b, [bm25(ts, [t], w, average_length) for t, w in terms])

@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from querymill.functions import geo, json_path
-from querymill.functions.text import analyze, tokens
+from querymill.functions.text import analyze, bind, tokens
 from querymill.plans.query_string import parse
 from querymill.plans.scoring import Stats, contains_phrase
 from querymill.table import ColumnDef, RequestError, Table
@@ -313,9 +313,13 @@ class Lowering:
         found = analyze(f["phrase"], c.analyzer)
         if not 2 <= len(found) <= 32 or len(f["phrase"].encode()) > 1024:
             raise RequestError("a phrase prefix has 2 to 32 tokens and 1024 bytes at most")
-        tokens, n, lead = self.table.tokens(c.name), len(found), F.array(*map(F.lit, found[:-1]))
-        at = F.exists(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: (F.slice(tokens, i, n - 1) == lead) & F.startswith(F.get(tokens, i + (n - 2)), F.lit(found[-1])))
-        return Lowered(F.when(F.size(tokens) >= n, at).otherwise(F.lit(False)), F.lit(1.0))
+        n, lead = len(found), F.array(*map(F.lit, found[:-1]))
+
+        def somewhere(ts: Column) -> Column:
+            at = F.exists(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: (F.slice(ts, i, n - 1) == lead) & F.startswith(F.get(ts, i + (n - 2)), F.lit(found[-1])))
+            return F.when(F.size(ts) >= n, at).otherwise(F.lit(False))
+
+        return Lowered(bind(self.table.tokens(c.name), somewhere), F.lit(1.0))
 
     def _regex(self, f: dict) -> Lowered:
         return Lowered(F.exists(self.table.tokens(f["column"]), lambda t: t.rlike(_whole(f["pattern"]))), F.lit(1.0))

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from querymill.functions.text import bind
 from querymill.table import Table
 
 K1, B = 1.2, 0.75
@@ -22,8 +23,22 @@ def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
     n = len(phrase)
     if n == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    starts = F.filter(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n) == F.array(*map(F.lit, phrase)))
-    return F.when(F.size(tokens) >= n, F.size(starts)).otherwise(F.lit(0))
+
+    def count(ts: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: F.slice(ts, i, n) == F.array(*map(F.lit, phrase)))
+        return F.when(F.size(ts) >= n, F.size(starts)).otherwise(F.lit(0))
+
+    return bind(tokens, count)
+
+
+def bm25(tokens: Column, terms: Sequence[str], weight: float, average_length: float) -> Column:
+    """Saturated frequency of a term or phrase times its weight, 0 where absent."""
+
+    def of(tf: Column) -> Column:
+        norm = K1 * (1 - B) + K1 * B * F.size(tokens) / F.lit(max(average_length, 1e-9))
+        return F.when(tf > 0, F.lit(weight * (K1 + 1)) * tf / (tf + norm)).otherwise(F.lit(0.0))
+
+    return bind(phrase_count(tokens, terms).cast("double"), of)
 
 
 @dataclass
@@ -57,8 +72,5 @@ class Stats:
 
     def score(self, column: str, terms: Sequence[str], boost: float = 1.0) -> Column:
         """BM25 of a term (or a phrase: summed idf, occurrences as frequency), 0 where absent."""
-        tokens = self.table.tokens(column)
-        tf = phrase_count(tokens, terms).cast("double")
-        norm = K1 * (1 - B) + K1 * B * F.size(tokens) / F.lit(max(self.average_length(column), 1e-9))
         idf = sum(self.idf(column, t) for t in terms)
-        return F.coalesce(F.when(tf > 0, F.lit(boost * idf * (K1 + 1)) * tf / (tf + norm)), F.lit(0.0))
+        return F.coalesce(bind(self.table.tokens(column), lambda ts: bm25(ts, terms, boost * idf, self.average_length(column))), F.lit(0.0))
