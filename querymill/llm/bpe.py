@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querymill.llm.common import give_back
+
 PIECE_BYTES = 1 << 15
 WINDOW = 64
 #: Words kept by each of the two generations of a worker's cache, and the longest kept.
@@ -35,7 +37,7 @@ MARKS = b'.,!?;:)'
 LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u0148\u014a-\u017e]+")
 NO_RANK = 1 << 40
 #: Text that is split into words at a time.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -181,6 +183,10 @@ class WordCoder:
             self.old, self.new = new if len(new) < 3 * CACHE_WORDS else {}, {}
         return out
 
+    def forget(self) -> None:
+        """Empty the word cache."""
+        self.new, self.old = {}, {}
+
     def decode(self, ids: bytes) -> str:
         return " ".join(self.tokens[np.frombuffer(ids, "<u4")].tolist())
 
@@ -300,6 +306,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", piece_b
         for batch in batches:
             for rows, part in slices(batch, text):
                 yield _with(rows, "ids", pa.array(c.encode(part), pa.binary()))
+        c.forget()
+        give_back()
 
     def run_both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in run(batches):

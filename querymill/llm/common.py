@@ -36,6 +36,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory, for a Python worker lives on and serves other operators."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v computed once, also where body uses it inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querymill.llm.bpe import chunks, tokenizer_path
-from querymill.llm.common import materialize
+from querymill.llm.bpe import slices, tokenizer_path
+from querymill.llm.common import give_back, materialize
 
 TRAIN_ROWS_PER_LANG = 4000
 MAX_LANGS = 64
@@ -35,7 +35,7 @@ SMOOTH = 0.01
 UNKNOWN = 1e-7
 #: Words up to this length are scored in batches; longer ones one by one, in logarithms.
 BATCHED = 24
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 MARK = "▁"
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -260,9 +260,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield m.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
         for batch in batches:
-            found = [x for part in chunks(batch.column("text")) for x in score(part)]
-            columns = [batch.column(k) for k in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+            for rows, part in slices(batch, "text"):
+                found = list(score(part))
+                columns = [rows.column(k) for k in keep]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*keep, "lang_pred", "score"])
+        place, table = {}, table[:0]
+        give_back()
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keep], "lang_pred string", "score double"])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

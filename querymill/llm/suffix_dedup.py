@@ -36,9 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from querymill.llm.common import give_back
+
 MATCH, ANCHOR = 50, 20
 SPAN = MATCH - ANCHOR + 1
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 HOT_TEXTS = 2000
 #: Bytes of segments merged at a time, and of those in a shard.
 MERGE_BYTES, SHARD_BYTES = 1 << 18, 1 << 14
@@ -344,6 +346,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for b, part in x.buckets:
             picked = [x.strings[j] for j in part.tolist()]
             out.append((b, chunk, b"".join(picked), np.array([len(s) for s in picked], np.uint8).tobytes(), x.ids[part].tobytes(), _six(x.keys[part])))
+        give_back()
         return made(out, **kinds)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -384,6 +387,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for chunk, bucket, mine in asked:
             own_runs = [runs[k] for k in mine]
             out.append((chunk, bucket, np.array([len(u) for u, _ in own_runs], np.uint8).tobytes(), np.concatenate([u for u, _ in own_runs]).astype(np.uint8).tobytes(), np.concatenate([v for _, v in own_runs]).tobytes()))
+        give_back()
         return made(out, **answer)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -422,6 +426,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
                 removed.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2])])
                 kept.append(body[~out].tobytes())
+        give_back()
         return pa.Table.from_arrays([*shape, pa.array(kept, pa.binary()), pa.array(removed, span)], names=[*names, "kept", "removed"])
 
     hashed = dealt.groupBy("_chunk").applyInArrow(anchors, "_bucket long, _chunk long, h binary, n binary")
