@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from querymill.llm import bpe, langid, mixing, simhash, suffix_dedup
+from querymill.llm import bpe, langid, mixing, shingles, suffix_dedup
 from querymill.llm.common import materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,19 +27,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest doc_id; of rows that repeat it, one.
+    """One row of each group of near copies stays, that with the smallest doc_id; of rows that repeat it, one.
 
-    Fingerprints and distance are those of the operator: three-word shingles, three bits. Rows without an id stay.
+    Near copies have five-word shingles with a Jaccard similarity of 0.8 or more; groups are connected by them. Rows that
+    share a doc_id but not a group are decided each in its own. Rows without an id stay.
     """
-    docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs)
-    out = found.where(F.col("doc_id") != F.coalesce("component_id", "doc_id")).select("doc_id").distinct()
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    kept = docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("h", F.xxhash64("text"))
+    found = materialize(shingles.near_duplicates(docs.select("doc_id", "h", "text")))
+    known = found.where("doc_id IS NOT NULL")
+    first = known.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    out = known.join(first, "component").where(F.struct("doc_id", "h") != F.col("first")).select("doc_id", "h").distinct()
+    repeated = materialize(known.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "h"))
+    kept = docs.join(out, ["doc_id", "h"], "left_anti")
     if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(single)
+        return kept.select(*COLUMNS)
+    single = kept.join(repeated, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return kept.join(repeated, ["doc_id", "h"], "left_anti").select(*COLUMNS).unionByName(single.select(*COLUMNS))
 
 
 @F.pandas_udf(StringType())
