@@ -5,8 +5,9 @@ segmentations into pieces, by the forward algorithm; a text's is the product ove
 case, each begun by the vocabulary's word mark). Piece probabilities come from expectation maximisation
 (forward-backward) over labelled texts; the languages' posterior with equal priors gives the label and score.
 
-The model is fitted on at most about TRAIN_ROWS_PER_LANG texts of each language, chosen by hash of the id; its size
-is bounded by the vocabulary and MAX_LANGS. Every text is scored whole.
+The model is fitted on at most about TRAIN_ROWS_PER_LANG texts of each language, chosen by hash of the id. Every language is
+learned: probabilities are held sparsely, and training and scoring take LANGS_AT_ONCE languages in turn. The driver gets the
+languages' names and the pieces that each one uses. Every text is scored whole.
 
 Defined results: null text, or text without a letter, is `und` with score 0, as is all text where nothing could be
 learned; repeated rows are scored each; rows with null ids are scored, and may be learned from.
@@ -25,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.llm.bpe import slices, tokenizer_path
-from querymill.llm.common import give_back, materialize
+from querymill.llm.common import give_back, join_small, materialize
 
 TRAIN_ROWS_PER_LANG = 4000
-MAX_LANGS = 64
+#: Languages whose probabilities are spread out at a time.
+LANGS_AT_ONCE = 32
 ROUNDS = 2
 SMOOTH = 0.01
 #: Probability of a letter that no piece covers, the same in every language.
@@ -121,32 +123,74 @@ def _forward(grid: np.ndarray, probs: np.ndarray, unknown: np.ndarray) -> np.nda
     return alpha
 
 
+@dataclass
+class Sparse:
+    """Piece probabilities by language: the least of each, and the pieces that have more."""
+
+    rows: int  # pieces, and a last row of zeros
+    least: list[float]
+    pieces: list[np.ndarray]
+    values: list[np.ndarray]
+
+    def add(self, probs: np.ndarray) -> None:
+        """Further languages: piece by language, and a last row of zeros."""
+        for column in probs[:-1].T:
+            self.least.append(float(column.min()))
+            self.pieces.append(np.flatnonzero(column > column.min()).astype(np.int32))
+            self.values.append(column[self.pieces[-1]])
+
+    def __getitem__(self, at: tuple[slice, slice]) -> np.ndarray:
+        """[:, a:b] as an array."""
+        langs = range(len(self.least))[at[1]]
+        out = np.empty((self.rows, len(langs)))
+        for k, lang in enumerate(langs):
+            out[:, k] = self.least[lang]
+            out[self.pieces[lang], k] = self.values[lang]
+        out[-1] = 0
+        return out
+
+
 @dataclass
 class Model:
     langs: list[str]
-    probs: np.ndarray  # piece by language, and a last row of zeros
+    probs: np.ndarray | Sparse  # piece by language, and a last row of zeros
     vocabulary: Vocabulary
 
+    def __post_init__(self) -> None:
+        self.spread: tuple[int, np.ndarray] | None = None
+
+    def part(self, first: int) -> np.ndarray:
+        """Probabilities of LANGS_AT_ONCE languages; those asked for last are kept."""
+        if self.spread is None or self.spread[0] != first:
+            self.spread = first, self.probs[:, first : first + LANGS_AT_ONCE]
+        return self.spread[1]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word (any length) in each language."""
-        out = np.zeros((len(words), len(self.langs)))
+        return np.concatenate([np.zeros((len(words), 0)), *[self.scores_from(k, words) for k in range(0, len(self.langs), LANGS_AT_ONCE)]], axis=1)
+
+    def scores_from(self, first: int, words: list[str]) -> np.ndarray:
+        """The same in LANGS_AT_ONCE languages."""
+        probs = self.part(first)
+        out = np.zeros((len(words), probs.shape[1]))
         short = [k for k, w in enumerate(words) if len(w) <= BATCHED]
         for part, grid in _grids(self.vocabulary, [words[k] for k in short]):
-            out[np.array(short)[part]] = np.log(_forward(grid, self.probs, np.float64(UNKNOWN))[-1])
+            out[np.array(short)[part]] = np.log(_forward(grid, probs, np.float64(UNKNOWN))[-1])
         for k, w in enumerate(words):
             if len(w) > BATCHED:
-                out[k] = self._long(MARK + w)
+                out[k] = self._long(MARK + w, first)
         return out
 
-    def _long(self, w: str) -> np.ndarray:
-        logs, place, deep = np.full((len(w) + 1, len(self.langs)), -np.inf), self.vocabulary.place, self.vocabulary.longest
+    def _long(self, w: str, first: int = 0) -> np.ndarray:
+        probs = self.part(first)
+        logs, place, deep = np.full((len(w) + 1, probs.shape[1]), -np.inf), self.vocabulary.place, self.vocabulary.longest
         logs[0] = 0
         for end in range(1, len(w) + 1):
             terms = []
             for size in range(1, min(deep, end) + 1):
                 piece = place.get(w[end - size : end])
                 if piece is not None:
-                    terms.append(logs[end - size] + np.log(self.probs[piece]))
+                    terms.append(logs[end - size] + np.log(probs[piece]))
                 elif size == 1:
                     terms.append(logs[end - 1] + np.log(UNKNOWN))
             logs[end] = np.logaddexp.reduce(terms, axis=0)
@@ -181,18 +225,15 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, rows: int = TRAIN_ROWS_PER_LANG) -> DataFrame:
     """lang and text of about `rows` rows of each language (all, if fewer), by hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return known.select("lang", "text").limit(0)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["count"])))])
+    share = materialize(known.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("share")))
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    return known.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    return join_small(known.select("doc_id", "lang", "text"), share, "lang").where(draw < F.col("share")).select("lang", "text")
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary | None = None, rows: int = TRAIN_ROWS_PER_LANG, rounds: int = ROUNDS) -> Model:
-    """Fit to the lang and text of the given rows. Each round sums a number for each piece and language on the driver."""
+    """Fit to the lang and text of the given rows. Each round sums a number for each piece and LANGS_AT_ONCE languages on the driver."""
     vocabulary = vocabulary or load_vocabulary()
-    spark, n_pieces = docs.sparkSession, len(vocabulary.pieces)
+    n_pieces = len(vocabulary.pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,9 +245,19 @@ def train(docs: DataFrame, vocabulary: Vocabulary | None = None, rows: int = TRA
     counted = training_sample(docs, rows).mapInArrow(count, "lang string, word string, n long")
     words = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
+    learned = Sparse(n_pieces + 1, [], [], [])
+    for first in range(0, len(langs), LANGS_AT_ONCE):
+        some = langs[first : first + LANGS_AT_ONCE]
+        learned.add(fit(words.where(F.col("lang").isin(some)), some, vocabulary, rounds))
+    return Model(langs, learned, vocabulary)
+
+
+def fit(words: DataFrame, langs: list[str], vocabulary: Vocabulary, rounds: int) -> np.ndarray:
+    """words: lang, word, n. Probabilities of the pieces (and a last row of zeros) in each of the languages."""
+    spark, n_pieces = words.sparkSession, len(vocabulary.pieces)
     probs = np.full((n_pieces + 1, len(langs)), 1 / max(n_pieces, 1))
     probs[-1] = 0
-    for _ in range(rounds if langs else 0):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, langs, probs))
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +280,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary | None = None, rows: int = TRA
         shared.unpersist()
         probs = (counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * n_pieces)
         probs[-1] = 0
-    return Model(langs, probs, vocabulary)
+    return probs
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -240,22 +291,28 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         place: dict[str, int] = {}
-        table = np.zeros((0, len(m.langs)))
+        table = np.zeros((0, 0))
 
         def score(texts: list[bytes]) -> Iterator[tuple[str, float]]:
             nonlocal place, table
             lists = [words_of(t.decode("utf-8", "replace")) for t in texts]
-            new = list({w for ws in lists for w in ws}.difference(place))
-            if len(place) + len(new) > CACHE_WORDS and place:
-                place, table = {}, table[:0]
-                new = list({w for ws in lists for w in ws})
-            place.update(zip(new, range(len(place), len(place) + len(new))))
-            table = np.concatenate([table, m.scores(new)]) if new else table
-            for ws in lists:
+            totals = np.zeros((len(lists), len(m.langs)))
+            for first in range(0, len(m.langs), LANGS_AT_ONCE):
+                if len(m.langs) > LANGS_AT_ONCE:  # words are kept only where one part has all languages
+                    place = {}
+                new = list({w for ws in lists for w in ws}.difference(place))
+                if len(place) + len(new) > CACHE_WORDS and place:
+                    place = {}
+                    new = list({w for ws in lists for w in ws})
+                held = table[: len(place)] if place else np.zeros((0, len(m.langs[first : first + LANGS_AT_ONCE])))
+                place.update(zip(new, range(len(place), len(place) + len(new))))
+                table = np.concatenate([held, m.scores_from(first, new)]) if new else held
+                for k, ws in enumerate(lists):
+                    totals[k, first : first + LANGS_AT_ONCE] = table[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+            for ws, total in zip(lists, totals):
                 if not ws or not m.langs:
                     yield UNDETERMINED, 0.0
                     continue
-                total = table[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
                 best = int(total.argmax())
                 yield m.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
