@@ -6,7 +6,8 @@ case, each begun by the vocabulary's word mark). Piece probabilities come from e
 (forward-backward) over labelled texts; the languages' posterior with equal priors gives the label and score.
 
 The model is fitted on at most about TRAIN_ROWS_PER_LANG texts of each language, chosen by hash of the id. Every language is
-learned: probabilities are held sparsely, and training and scoring take LANGS_AT_ONCE languages in turn. The driver gets the
+learned, from letter runs of any length; one whose chosen texts hold no letter has nothing to learn from and is left out.
+Probabilities are held sparsely, and training and scoring take LANGS_AT_ONCE languages in turn. The driver gets the
 languages' names and the pieces that each one uses. Every text is scored whole.
 
 Defined results: null text, or text without a letter, is `und` with score 0, as is all text where nothing could be
@@ -15,6 +16,7 @@ learned; repeated rows are scored each; rows with null ids are scored, and may b
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +37,7 @@ ROUNDS = 2
 SMOOTH = 0.01
 #: Probability of a letter that no piece covers, the same in every language.
 UNKNOWN = 1e-7
-#: Words up to this length are scored in batches; longer ones one by one, in logarithms.
+#: Words up to this length are learned from and scored in batches; longer ones one by one, in logarithms.
 BATCHED = 24
 CACHE_WORDS = 100_000
 MARK = "▁"
@@ -197,10 +199,43 @@ class Model:
         return logs[-1]
 
 
+def _log_sum(terms: list[float]) -> float:
+    most = max(terms)
+    return most + math.log(sum(math.exp(t - most) for t in terms))
+
+
+def _add_long_counts(counts: np.ndarray, vocabulary: Vocabulary, w: str, weight: float, logs: list[float]) -> None:
+    """Add the expected uses of each piece in one word of any length, in logarithms."""
+    place, n, unknown = vocabulary.place, len(w), math.log(UNKNOWN)
+    into: list[list[tuple[int, int, float]]] = []  # by end: start, piece (-1: none covers the letter), logarithm
+    before = [0.0]
+    for end in range(1, n + 1):
+        found = [(end - size, place[w[end - size : end]]) for size in range(1, min(vocabulary.longest, end) + 1) if w[end - size : end] in place]
+        edges = [(start, piece, logs[piece]) for start, piece in found]
+        if w[end - 1] not in place:
+            edges.append((end - 1, -1, unknown))
+        into.append(edges)
+        before.append(_log_sum([before[start] + p for start, _, p in edges]))
+    after: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
+    for end in range(n, 0, -1):
+        rest = _log_sum(after[end])
+        for start, piece, p in into[end - 1]:
+            after[start].append(p + rest)
+            if piece >= 0:
+                counts[piece] += weight * math.exp(before[start] + p + rest - before[n])
+
+
 def expected_counts(vocabulary: Vocabulary, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in words of one language (probs: one column) by forward-backward."""
     counts = np.zeros(len(probs))
-    for part, grid in _grids(vocabulary, words):
+    short = np.array([k for k, w in enumerate(words) if len(w) <= BATCHED], np.int64)
+    if len(short) < len(words):
+        logs = np.log(probs[:-1, 0]).tolist()
+        for w, weight in zip(words, weights.tolist()):
+            if len(w) > BATCHED:
+                _add_long_counts(counts, vocabulary, MARK + w, weight, logs)
+    weights = weights[short]
+    for part, grid in _grids(vocabulary, [words[k] for k in short.tolist()]):
         alpha = _forward(grid, probs, np.float64(UNKNOWN))[:, :, 0]
         n, deep, m = grid.shape
         beta = np.zeros((n + 1, m))
@@ -239,7 +274,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary | None = None, rows: int = TRA
         for batch in batches:
             found: Counter = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                found.update((lang, w) for w in words_of(text) if len(w) <= BATCHED)
+                found.update((lang, w) for w in words_of(text))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
     counted = training_sample(docs, rows).mapInArrow(count, "lang string, word string, n long")
