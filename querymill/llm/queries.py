@@ -104,12 +104,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    found = suffix_dedup.deduplicate(docs, columns=["doc_id", "n_bytes"])
     return found.select(
         "doc_id",
-        n_bytes.alias("n_bytes"),
-        (n_bytes - F.octet_length("kept")).cast("long").alias("n_removed"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )

@@ -3,32 +3,36 @@
 A byte goes if it is covered by a string of MATCH bytes that also starts in a document with a smaller id. No pass sorts
 the suffixes of the corpus:
 
+0. Copies. Of equal texts (by SHA-256) that with the smallest id goes on; from the others everything goes. Texts under
+   MATCH bytes keep everything. Both are decided without looking at windows.
 1. Anchors. Every window of MATCH bytes has a minimizer, the least hash of its ANCHOR-byte strings; equal windows
    have equal minimizers. Texts are dealt to chunks, and a minimizer that only one document has rules its windows
    out. Hashes go to buckets and the shared ones come back to the chunks that asked.
 2. Segments. A run of windows with one shared minimizer is cut out with its bytes (80 at most) and sent to the
-   bucket of its minimizer, each distinct segment of a chunk once, with the smallest id that has it. Where more than HOT_TEXTS
-   texts share a minimizer, single windows are sent instead, to the buckets of their own hashes, so that a passage
-   with many different surroundings fills no bucket.
+   bucket of its minimizer, each distinct segment of a chunk once, with the smallest id that has it. Where a minimizer
+   has more than HOT_SEGMENTS segments, single windows are sent instead, to the buckets of their own hashes, so that a
+   passage with many different surroundings fills no bucket.
 3. Transforms. In a bucket, segments with the same minimizers lie together in shards. Each shard gets the Burrows-
-   Wheeler transform of its own segments (symbols are the `step` bytes before a suffix), and the shards' transforms are
-   merged: from the interleave by the first h bytes, the stable order of the symbols gives that by h + step, until MATCH
+   Wheeler transform of its own segments (symbols are the STEP bytes before a suffix), and the shards' transforms are
+   merged: from the interleave by the first h bytes, the stable order of the symbols gives that by h + STEP, until MATCH
    bytes are ordered. The blocks that never were told apart have a common prefix of MATCH bytes: the repeated
    intervals. Each takes the smallest id in it.
 4. The intervals' ids go back to the chunks, which find their segments again in the same (sorted) order, and windows
    whose id is smaller than their document's are removed.
 
-All steps are one plan: the texts are shuffled once, by chunk, and that exchange serves steps 1, 2 and 4. Every table
+Steps 1 to 4 are one plan: the texts are shuffled once, by chunk, and that exchange serves steps 1, 2 and 4. Every table
 between them is keyed by chunk or bucket, of sizes that do not depend on the keys' frequencies; hot strings are
 combined within chunks before they are sent. Matches are compared on the input's bytes; hashes only rule windows out.
 
 Defined results: null text is empty; texts under MATCH bytes lose nothing; a null id counts as larger than all; rows
-that repeat an id take nothing from each other; an empty table gives an empty result.
+that repeat an id take nothing from each other; an empty table gives an empty result. Columns of the input that are
+called `kept`, `removed`, `_chunk`, `_digest`, `_first`, `_firsts` or `_many` go.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,22 +40,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from querymill.llm.common import give_back
+from querymill.llm.common import give_back, join_small, materialize
 
 MATCH, ANCHOR = 50, 20
 SPAN = MATCH - ANCHOR + 1
+LONGEST = MATCH + SPAN - 1
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
-HOT_TEXTS = 2000
-#: Bytes of segments merged at a time, and of those in a shard.
-MERGE_BYTES, SHARD_BYTES = 1 << 18, 1 << 14
-#: Letters ordered by one round of a merge: the first that gives few enough symbols.
-STEPS = (5, 2, 1)
+HOT_SEGMENTS = 512
+#: Letters of segments merged at a time (below 65 536, so that symbols and ranks take two bytes), and bytes of a shard.
+MERGE_BYTES, SHARD_BYTES = 60_000, 1 << 14
+#: Letters ordered by one round of a merge.
+STEP = 10
 #: Text that minimizers are taken from at a time.
 PASS_BYTES = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 #: Minimizers are sent as six bytes; more collisions would only mean more segments.
 KEEP = np.uint64((1 << 48) - 1)
 PRIME = 1099511628211
+#: Bytes of a segment's row: its own, zeros, and its length as the last.
+ROW = 88
+#: A byte that UTF-8 never has ends a segment.
+END = 255
+SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
 def _anchor_hashes(a: np.ndarray) -> np.ndarray:
@@ -79,17 +89,20 @@ def _sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: -(width - size)], h[width - size :]) if size < width else h
 
 
-def window_runs(texts: list[bytes]):
-    """For batches of texts: (bytes, text number, start in bytes, windows, minimizer) of the runs of windows with one minimizer."""
-    k = 0
+def window_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """The runs of windows with one minimizer, for batches of texts.
+
+    Gives (bytes, text number, start in the bytes, windows, minimizer, start of the batch in all texts).
+    """
+    k, before = 0, 0
     while k < len(texts):
         stop, size = k, 0
         while stop < len(texts) and (stop == k or size + len(texts[stop]) <= PASS_BYTES):
             size += len(texts[stop])
             stop += 1
-        body = b"".join(texts[k:stop])
+        body = np.frombuffer(b"".join(texts[k:stop]), np.uint8)
         if len(body) >= MATCH:
-            least = _sliding_least(_anchor_hashes(np.frombuffer(body, np.uint8)), SPAN)
+            least = _sliding_least(_anchor_hashes(body), SPAN)
             ends = np.cumsum([len(t) for t in texts[k:stop]])
             starts = np.concatenate([[0], ends[:-1]])
             change = np.ones(len(least), bool)
@@ -99,23 +112,8 @@ def window_runs(texts: list[bytes]):
             text = np.searchsorted(ends, at, side="right")
             until = np.minimum(np.append(at[1:], len(least)), ends[text] - MATCH + 1)
             ok = until > at
-            yield body, text[ok] + k, at[ok], (until - at)[ok], least[at[ok]] & KEEP, starts
-        k = stop
-
-
-def _distinct(ids: list, texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray, list[int]]:
-    """Distinct texts of a chunk, the least and largest id of each, and the place of each row's text."""
-    place, least, most, rows = {}, [], [], []
-    for d, t in zip(ids, texts):
-        d = NO_ID if d is None else d
-        k = place.setdefault(t, len(place))
-        if k == len(least):
-            least.append(d)
-            most.append(d)
-        else:
-            least[k], most[k] = min(least[k], d), max(most[k], d)
-        rows.append(k)
-    return list(place), np.array(least, np.int64), np.array(most, np.int64), rows
+            yield body, text[ok] + k, at[ok], (until - at)[ok], least[at[ok]] & KEEP, before
+        k, before = stop, before + size
 
 
 def _by(keys: np.ndarray):
@@ -126,6 +124,16 @@ def _by(keys: np.ndarray):
         yield int(keys[part[0]]), part
 
 
+def _firsts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Places where a new key begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _six(h: np.ndarray) -> bytes:
     """The hashes' low six bytes."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -138,299 +146,389 @@ def _hashes(raw: list[bytes]) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _counted(h: np.ndarray, n: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, the sums of n, and whether any is marked as of several documents."""
+def _coded(n: np.ndarray) -> np.ndarray:
+    """Counts in seven bits: up to 63 as they are, above as the power of two that is not less."""
+    return np.where(n < 64, n, 64 + np.ceil(np.log2(np.maximum(n, 1)))).astype(np.uint8)
+
+
+def _decoded(code: np.ndarray) -> np.ndarray:
+    return np.where(code < 64, code, np.int64(1) << np.minimum(np.maximum(code.astype(np.int64) - 64, 0), 40))
+
+
+def segment_rows(body: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One row of ROW bytes for each segment of the body, as eight-byte numbers."""
+    padded = np.concatenate([body, np.zeros(ROW, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, ROW)[at]
+    rows[np.arange(ROW)[None] >= sizes[:, None]] = 0
+    rows[:, -1] = sizes
+    return rows.view("<u8")
+
+
+def row_bytes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments' bytes, one after the other, and their sizes."""
+    raw = rows.view(np.uint8).reshape(-1, ROW)
+    sizes = raw[:, -1]
+    return raw[np.arange(ROW)[None] < sizes[:, None]], sizes
+
+
+def row_hashes(rows: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        h = (h ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an order that brings equal rows together, where each distinct row begins in it, the rows' hashes).
+
+    The order is by hash, and by content where two rows share one, so it depends on the rows alone.
+    """
+    h = row_hashes(rows)
     order = np.argsort(h, kind="stable")
-    h = h[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    if not len(at):
-        return h, n, several
-    return h[at], np.add.reduceat(n[order], at), np.maximum.reduceat(several[order], at)
+    new = np.ones(len(order), bool)
+    if len(order) > 1:
+        near = rows[order]
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        differ = (near[1:] != near[:-1]).any(axis=1)
+        if (differ & ~new[1:]).any():
+            order = np.lexsort((*rows.T, h))
+            near = rows[order]
+            differ = (near[1:] != near[:-1]).any(axis=1)
+        new[1:] = differ
+    return order, np.flatnonzero(new), h
 
 
 class Located:
-    """The shared windows of a chunk's texts, as segments. Two calls on the same rows, in any order, number them alike."""
-
-    def __init__(self, texts: list[bytes], least: np.ndarray, h: np.ndarray, hot: np.ndarray, n_buckets: int) -> None:
-        from xxhash import xxh64_intdigest
+    """The shared windows of a chunk's texts, as segments. Two calls on the same texts, in any order, number them alike."""
 
+    def __init__(self, texts: list[bytes], ids: np.ndarray, h: np.ndarray, hot: np.ndarray, n_buckets: int) -> None:
         order = np.argsort(h)
         h, hot = h[order], hot[order]
-        number: dict[bytes, int] = {}
-        ids, keys = [], []
-        found: dict[int, tuple[list, list, list]] = {}
-        for body, text_no, at, n, mark, starts in window_runs(texts) if len(h) else ():
+        parts = []
+        for body, text, at, n, mark, before in window_runs(texts) if len(h) else ():
             where = np.searchsorted(h, mark)
             where[where == len(h)] = 0
             hit = np.flatnonzero(h[where] == mark)
-            base = text_no[0] - np.searchsorted(starts, at[0], side="right") + 1 if len(at) else 0
-            for t, p, w, m, warm in zip(text_no[hit].tolist(), at[hit].tolist(), n[hit].tolist(), mark[hit].tolist(), hot[where[hit]].tolist()):
-                own_id, (ps, ws, ks) = int(least[t]), found.setdefault(t, ([], [], []))
-                begin = int(starts[t - base])
-                size = 1 if warm else SPAN
-                for q in range(p, p + w, size):
-                    windows = min(size, p + w - q)
-                    s = body[q : q + windows + MATCH - 1]
-                    k = number.setdefault(s, len(number))
-                    if k == len(ids):
-                        ids.append(own_id)
-                        keys.append(xxh64_intdigest(s) & int(KEEP) if warm else m)
-                    elif own_id < ids[k]:
-                        ids[k] = own_id
-                    ps.append(q - begin)
-                    ws.append(windows)
-                    ks.append(k)
-        by_bytes = sorted(number)
-        order = np.array([number[s] for s in by_bytes], np.int64)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.strings = by_bytes
-        self.ids, self.keys = np.array(ids, np.int64)[order], np.array(keys, np.uint64)[order]
-        self.texts = {t: (np.array(ps), np.array(ws), rank[np.array(ks)]) for t, (ps, ws, ks) in found.items()}
+            if not len(hit):
+                continue
+            text, at, n, mark, warm = text[hit], at[hit], n[hit], mark[hit], hot[where[hit]]
+            size = np.where(warm, 1, SPAN)
+            times = -(-n // size)
+            offset = _within(times) * np.repeat(size, times)
+            text, at, mark, warm = (np.repeat(x, times) for x in (text, at, mark, warm))
+            windows = np.minimum(np.repeat(size, times), np.repeat(n, times) - offset)
+            at = at + offset
+            parts.append((segment_rows(body, at, windows + MATCH - 1), text, at + before, mark, warm))
+        if not parts:
+            parts = [(np.zeros((0, ROW // 8), "<u8"), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64), np.zeros(0, bool))]
+        rows, self.text, self.at, mark, warm = (np.concatenate(x) for x in zip(*parts))
+        order, first, h = distinct_rows(rows)
+        one = order[first]
+        self.number = np.empty(len(rows), np.int64)
+        self.number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        self.rows = rows[one]
+        self.keys = np.where(warm[one], h[one] & KEEP, mark[one])
+        self.ids = np.minimum.reduceat(ids[self.text[order]], first) if len(first) else np.zeros(0, np.int64)
         self.buckets = list(_by((self.keys % np.uint64(n_buckets)).astype(np.int64)))
 
 
-def shard_transforms(strings: list[bytes]):
+def _ranked(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, the first before the others, and each place's rank in it (equal for equal keys)."""
+    by = None
+    for key in reversed(keys):
+        by = np.argsort(key, kind="stable") if by is None else by[np.argsort(key[by], kind="stable")]
+    new = np.zeros(len(by), bool)
+    for key in keys:
+        near = key[by]
+        new[1:] |= near[1:] != near[:-1]
+    rank = np.empty(len(by), np.uint16 if len(by) <= 1 << 16 else np.uint32)
+    rank[by] = np.cumsum(new)
+    return by, rank
+
+
+def shard_transforms(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The shards' suffix orders and transforms, one shard after the other.
 
-    Returns (symbols, order, shard sizes, string of each suffix, step): suffixes are rotations of a string with its end
-    mark, `order` sorts those of each shard, `symbols` are the `step` letters before them, numbered in their order.
+    Returns (symbols, order, shard sizes, segment of each suffix): suffixes are rotations of a segment with its end
+    mark, `order` sorts those of each shard by their first MATCH letters, `symbols` are the STEP letters before them,
+    numbered in their order.
     """
-    sizes = np.array([len(s) + 1 for s in strings])
+    raw, sizes = row_bytes(rows)
+    sizes = sizes.astype(np.int64) + 1
     ends = np.cumsum(sizes)
     n = int(ends[-1])
-    letters = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
-    letters[ends - 1] = 0
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    first, length = (ends - sizes)[owner], sizes[owner]
-    place = np.arange(n) - first
-    one = np.arange(1, n + 1)
-    one[ends - 1] = ends - sizes
+    inside = np.ones(n, bool)
+    inside[ends - 1] = False
+    letters = np.full(n, END, np.uint8)
+    letters[inside] = raw
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    last = (ends - 1)[owner]
+    here = np.arange(n)
+    length = sizes[owner]
 
     def ahead(k: int) -> np.ndarray:
-        at = place + k
-        while (over := at >= length).any():
-            at -= np.where(over, length, 0)
-        return first + at
-
-    for step in STEPS:
-        gram, nxt = np.zeros(n, np.int64), np.arange(n)
-        for _ in range(step):
-            gram = (gram << 9) | letters[nxt]
-            nxt = one[nxt]
-        known, gram = np.unique(gram, return_inverse=True)
-        if len(known) <= 1 << 16:
-            break
-    shard = ((ends - 1) // SHARD_BYTES)[owner]
-    shard = np.cumsum(np.concatenate([[0], np.diff(shard) != 0]))
-    # order by shard, then the first `step` letters, then twice as many in each round
-    by, rank = _ranked(shard << 16 | gram)
-    deep, longest = step, int(sizes.max())
-    while deep < longest and int(rank[by[-1]]) < n - 1:
-        by, rank = _ranked(rank * n + rank[ahead(deep)])
-        deep *= 2
-    symbols = np.empty(n, np.uint16)
-    symbols[nxt] = gram  # nxt lies `step` letters ahead
-    return symbols[by], by, np.bincount(shard), owner, step
-
-
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the keys, and each key's rank in it (equal for equal keys)."""
-    by = np.argsort(key)
-    key = key[by]
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    return by, rank
-
+        at = here + k
+        return np.where(at > last, at - length, at)
 
-def merge_transforms(symbols: np.ndarray, sizes: np.ndarray, step: int, depth: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    pair = letters.astype(np.uint16) << 8 | letters[ahead(1)]
+    _, gram = _ranked(pair, *[pair[ahead(k)] for k in range(2, STEP, 2)])
+    shard = ((ends - 1) // SHARD_BYTES)[owner]
+    shard = np.cumsum(np.concatenate([[0], shard[1:] != shard[:-1]])).astype(np.uint8 if shard[-1] - shard[0] < 256 else np.uint16)
+    # order by shard, then the first STEP letters, then twice as many in each round
+    by, rank = _ranked(shard, gram)
+    deep = STEP
+    while deep < MATCH:
+        more = min(deep, MATCH - deep)
+        by, rank = _ranked(rank, rank[ahead(more)])
+        deep += more
+    symbols = np.empty_like(gram)
+    symbols[ahead(STEP)] = gram
+    return symbols[by], by, np.bincount(shard), owner
+
+
+def merge_transforms(symbols: np.ndarray, sizes: np.ndarray, depth: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards by their suffixes' first `depth` letters, and the block of equal prefixes at each place."""
     interleave = np.repeat(np.arange(len(sizes)), sizes).astype(np.uint8 if len(sizes) <= 256 else np.uint16)
     block = np.zeros(len(symbols), np.int32)
-    for _ in range(depth // step):
+    new = np.zeros(len(symbols), bool)
+    for _ in range(depth // STEP):
         here = np.empty_like(symbols)
         here[np.argsort(interleave, kind="stable")] = symbols  # the next symbol of the shard whose turn it is
         order = np.argsort(here, kind="stable")
         interleave, here, block = interleave[order], here[order], block[order]
-        new = here[1:] != here[:-1]
-        new |= block[1:] != block[:-1]
-        block = np.concatenate([[0], np.cumsum(new, dtype=np.int32)]).astype(np.int32)
+        new[1:] = (here[1:] != here[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(new, dtype=np.int32)
     return interleave, block
 
 
-def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """For each string, the least id of the strings that hold each of its windows."""
-    symbols, by, sizes, owner, step = shard_transforms(strings)
-    interleave, block = merge_transforms(symbols, sizes, step)
+def least_ids(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window of each segment, one after the other, the least id of the segments that hold it."""
+    symbols, by, sizes, owner = shard_transforms(rows)
+    interleave, block = merge_transforms(symbols, sizes)
     suffix = np.empty(len(by), np.int64)
     suffix[np.argsort(interleave, kind="stable")] = by
-    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    least = np.minimum.reduceat(ids[owner[suffix]], at)[block]
     out = np.empty(len(by), np.int64)
-    out[suffix] = least
-    ends = np.cumsum([len(s) + 1 for s in strings])
-    return [out[e - len(s) - 1 : e - MATCH] for s, e in zip(strings, ends.tolist())]
-
-
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns, `kept` (binary, the bytes that stay) and `removed` (array of start, stop: the maximal removed runs)."""
-    docs = docs.drop("kept", "removed", "_chunk")
-    fields = docs.schema.fields
-    names = [f.name for f in fields]
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    n_chunks, n_buckets = max(1, math.ceil(total / CHUNK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(n_chunks)))
-    place = {n: k for k, n in enumerate([*names, "_chunk"])}
-    arrow_own = list(to_arrow_schema(docs.schema))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    out[suffix] = np.minimum.reduceat(ids[owner[suffix]], _firsts(block))[block]
+    windows = rows.view(np.uint8).reshape(-1, ROW)[:, -1].astype(np.int64) + 1 - MATCH
+    return out[np.repeat(np.cumsum(windows + MATCH) - windows - MATCH, windows) + _within(windows)]
 
-    def columns(table: pa.Table) -> tuple[list, list[bytes]]:
-        return table.column(place[key]).to_pylist(), [x or b"" for x in table.column(place[text]).cast(pa.binary()).to_pylist()]
 
-    def made(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], names=list(kinds))
+def bucket_least_ids(rows: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one least id in each of a bucket's segments: how many, where they end, and the ids."""
+    order = np.argsort(keys, kind="stable")
+    rows, ids, keys = rows[order], ids[order], keys[order]
+    windows = rows.view(np.uint8).reshape(-1, ROW)[:, -1].astype(np.int64) + 1 - MATCH
+    letters = np.cumsum(windows + MATCH)
+    groups = np.append(_firsts(keys), len(keys))
+    low, begin = [], 0
+    while begin < len(keys):
+        # whole groups of one minimizer, as many as fit and one at least
+        fits = np.searchsorted(letters, (letters[begin - 1] if begin else 0) + MERGE_BYTES, side="right")
+        stop = int(groups[max(np.searchsorted(groups, fits, side="right") - 1, np.searchsorted(groups, begin, side="right"))])
+        low.append(least_ids(rows[begin:stop], ids[begin:stop]))
+        begin = stop
+    flat = np.concatenate(low) if low else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(rows)), windows)
+    last = np.ones(len(flat), bool)
+    last[:-1] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(last)
+    counts = np.bincount(owner[at], minlength=len(rows))
+    until = at + 1 - (np.cumsum(windows) - windows)[owner[at]]
+    # back to the order of the segments as given
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    take = np.repeat((np.cumsum(counts) - counts)[back], counts[back]) + _within(counts[back])
+    return counts[back], until[take], flat[at][take]
+
+
+def _texts(table: pa.Table, column: int) -> list[bytes]:
+    return [x or b"" for x in table.column(column).cast(pa.binary()).to_pylist()]
+
+
+def _made(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], names=list(kinds))
+
+
+def _spans(counts: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64))], names=["start", "stop"]))
+
+
+def _shared_windows(docs: DataFrame, key: str, text: str, columns: list[str], total: int) -> DataFrame:
+    """Steps 1 to 4 for distinct texts, with a `_digest` column: the columns, kept and removed."""
+    n_chunks, n_buckets = max(1, math.ceil(total / CHUNK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
+    names = list(dict.fromkeys([*columns, key, text]))
+    dealt = docs.select(*names, F.pmod(F.xxhash64("_digest"), F.lit(n_chunks)).alias("_chunk"))
+    kinds = dict(docs.dtypes)
+    own = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    place = {n: k for k, n in enumerate([*names, "_chunk"])}
+    arrow_own = list(to_arrow_schema(docs.select(*columns).schema))
+    answer = {"_chunk": pa.int64(), "_bucket": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+    answer_ddl = "_chunk long, _bucket long, a binary, b binary, c binary"
 
     def anchors(table: pa.Table) -> pa.Table:
-        """By bucket: the chunk's distinct minimizers, and one byte each: texts that have it (127 at most) and, as a bit, several ids."""
-        chunk = table.column(place["_chunk"])[0].as_py()
-        texts, least, most, _ = _distinct(*columns(table))
-        parts = []
-        for _, t, _, _, h, _ in window_runs(texts):
-            order = np.lexsort((t, h))
-            h, t = h[order], t[order]
-            once = np.ones(len(h), bool)  # a text counts once
-            once[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-            parts.append((h[once], least[t[once]], most[t[once]]))
-        h, low, high = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        order = np.argsort(h, kind="stable")
-        h, low, high = h[order], low[order], high[order]
-        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        if not len(at):
-            return made([], _bucket=pa.int64(), _chunk=pa.int64(), h=pa.binary(), n=pa.binary())
-        several = np.minimum.reduceat(low, at) != np.maximum.reduceat(high, at)
-        n = np.minimum(np.diff(np.append(at, len(h))), 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
-        h = h[at]
-        return made([(b, chunk, _six(h[p]), n[p].tobytes()) for b, p in _by((h % np.uint64(n_buckets)).astype(np.int64))], _bucket=pa.int64(), _chunk=pa.int64(), h=pa.binary(), n=pa.binary())
+        """By bucket: the chunk's distinct minimizers, and one byte each: segments that have it (coded) and, as a bit, several texts."""
+        chunk, texts = table.column(place["_chunk"])[0].as_py(), _texts(table, place[text])
+        parts = [(mark, number, at + before, np.minimum(n, SPAN)) for _, number, at, n, mark, before in window_runs(texts)]
+        if not parts:
+            return _made([], _bucket=pa.int64(), _chunk=pa.int64(), h=pa.binary(), n=pa.binary())
+        mark, number, at, windows = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(mark, kind="stable")
+        first = _firsts(mark[order])
+        h, times = mark[order[first]], np.diff(np.append(first, len(order)))
+        several = np.minimum.reduceat(number[order], first) != np.maximum.reduceat(number[order], first)
+        n = np.ones(len(h), np.int64)
+        many = np.flatnonzero(times > 1)
+        again = order[np.repeat(first[many], times[many]) + _within(times[many])]
+        group = np.repeat(many, times[many])
+        content = row_hashes(segment_rows(np.frombuffer(b"".join(texts), np.uint8), at[again], windows[again] + MATCH - 1))
+        by = np.lexsort((content, group))
+        content, group = content[by], group[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (content[1:] != content[:-1]) | (group[1:] != group[:-1])
+        n[many] = np.bincount(group[new], minlength=len(h))[many]
+        n = _coded(n) | (several.astype(np.uint8) << 7)
+        return _made([(b, chunk, _six(h[p]), n[p].tobytes()) for b, p in _by((h % np.uint64(n_buckets)).astype(np.int64))], _bucket=pa.int64(), _chunk=pa.int64(), h=pa.binary(), n=pa.binary())
 
     def shared(table: pa.Table) -> pa.Table:
-        """Back to each chunk: its minimizers that other chunks, or several of its ids, have too, and whether many texts do."""
+        """Back to each chunk: its minimizers that other chunks, or several of its texts, have too, and whether there are many segments."""
         raw, chunks_ = table.column("h").to_pylist(), np.array(table.column("_chunk").to_pylist())
         h, n = _hashes(raw), np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint8)
         chunk = np.repeat(chunks_, [len(x) // 6 for x in raw])
-        hs, ns, several = _counted(h, (n & 127).astype(np.int64), n >> 7)
-        at = np.searchsorted(hs, h)
-        held = np.bincount(at, minlength=len(hs))
-        take = np.flatnonzero((several[at] > 0) | (held[at] > 1))
-        hot = ns[at] > HOT_TEXTS
-        return made([(c, None, _six(h[take[p]]), hot[take[p]].tobytes(), None) for c, p in _by(chunk[take])], **answer)
-
-    answer = {"_chunk": pa.int64(), "_bucket": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
-    answer_ddl = "_chunk long, _bucket long, a binary, b binary, c binary"
-
-    def located(table: pa.Table, marks: pa.Table) -> tuple[Located, list[bytes], list[int], list]:
-        ids, bodies = columns(table)
-        texts, least, _, rows = _distinct(ids, bodies)
-        h = _hashes(marks.column("a").to_pylist())
+        order = np.argsort(h, kind="stable")
+        first = _firsts(h[order])
+        held = np.diff(np.append(first, len(h)))
+        several = (np.maximum.reduceat(n[order] >> 7, first) > 0) | (held > 1) if len(h) else np.zeros(0, bool)
+        many = np.add.reduceat(_decoded(n[order] & 127), first) > HOT_SEGMENTS if len(h) else np.zeros(0, bool)
+        take, hot = order[np.repeat(several, held)], np.repeat(many[several], held[several])
+        return _made([(c, None, _six(h[take[p]]), hot[p].tobytes(), None) for c, p in _by(chunk[take])], **answer)
+
+    def located(table: pa.Table, marks: pa.Table) -> tuple[Located, list[bytes], np.ndarray]:
+        ids = np.array([NO_ID if d is None else d for d in table.column(place[key]).to_pylist()], np.int64)
+        texts = _texts(table, place[text])
         hot = np.frombuffer(b"".join(marks.column("b").to_pylist()), bool)
-        return Located(texts, least, h, hot, n_buckets), texts, rows, ids
+        return Located(texts, ids, _hashes(marks.column("a").to_pylist()), hot, n_buckets), texts, ids
 
     def segments(table: pa.Table, marks: pa.Table) -> pa.Table:
         """The chunk's distinct segments, by bucket."""
         kinds = {"_bucket": pa.int64(), "_chunk": pa.int64(), "body": pa.binary(), "sizes": pa.binary(), "ids": pa.binary(), "keys": pa.binary()}
         if not table.num_rows or not marks.num_rows:
-            return made([], **kinds)
+            return _made([], **kinds)
         chunk = table.column(place["_chunk"])[0].as_py()
-        x, *_ = located(table, marks)
+        x, _, _ = located(table, marks)
         out = []
         for b, part in x.buckets:
-            picked = [x.strings[j] for j in part.tolist()]
-            out.append((b, chunk, b"".join(picked), np.array([len(s) for s in picked], np.uint8).tobytes(), x.ids[part].tobytes(), _six(x.keys[part])))
+            raw, sizes = row_bytes(x.rows[part])
+            out.append((b, chunk, raw.tobytes(), sizes.tobytes(), x.ids[part].tobytes(), _six(x.keys[part])))
         give_back()
-        return made(out, **kinds)
+        return _made(out, **kinds)
 
     def merge(table: pa.Table) -> pa.Table:
         """Back to each chunk: the runs of windows with one least id, of each of its segments in the order sent."""
-        number: dict[bytes, int] = {}
-        ids: list[int] = []
-        keys: list[int] = []
-        asked = []
-        for chunk, bucket, body, sizes, low, key_ in zip(*(table.column(c).to_pylist() for c in ("_chunk", "_bucket", "body", "sizes", "ids", "keys"))):
-            ends = np.cumsum(np.frombuffer(sizes, np.uint8), dtype=np.int64).tolist()
-            mine, begin = [], 0
-            for e, i, m in zip(ends, np.frombuffer(low, np.int64).tolist(), _hashes([key_]).tolist()):
-                k = number.setdefault(body[begin:e], len(number))
-                if k == len(ids):
-                    ids.append(i)
-                    keys.append(m)
-                elif i < ids[k]:
-                    ids[k] = i
-                mine.append(k)
-                begin = e
-            asked.append((chunk, bucket, mine))
-        strings, ids_ = list(number), np.array(ids, np.int64)
-        keys_ = np.array(keys, np.uint64)
-        order = np.argsort(keys_, kind="stable")
-        keys_ = keys_[order]
-        filled = np.cumsum(np.array([len(s) + 1 for s in strings])[order])
-        runs: list = [None] * len(strings)
-        begin = 0
-        while begin < len(order):
-            stop = int(np.searchsorted(filled, (filled[begin - 1] if begin else 0) + MERGE_BYTES))
-            stop = int(np.searchsorted(keys_, keys_[min(max(stop, begin + 1), len(order)) - 1], side="right"))
-            part = order[begin:stop].tolist()
-            for k, w in zip(part, least_ids([strings[k] for k in part], ids_[part])):
-                cut = np.flatnonzero(np.diff(w))
-                runs[k] = (np.append(cut + 1, len(w)), w[np.append(cut, len(w) - 1)])
-            begin = stop
-        out = []
-        for chunk, bucket, mine in asked:
-            own_runs = [runs[k] for k in mine]
-            out.append((chunk, bucket, np.array([len(u) for u, _ in own_runs], np.uint8).tobytes(), np.concatenate([u for u, _ in own_runs]).astype(np.uint8).tobytes(), np.concatenate([v for _, v in own_runs]).tobytes()))
+        body, sizes, low, keys = (table.column(c).to_pylist() for c in ("body", "sizes", "ids", "keys"))
+        ends = np.cumsum([len(x) for x in sizes])
+        size = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
+        rows = segment_rows(np.frombuffer(b"".join(body), np.uint8), np.cumsum(size) - size, size)
+        ids, keys = np.frombuffer(b"".join(low), np.int64), _hashes(keys)
+        order, first, _ = distinct_rows(rows)
+        number = np.empty(len(rows), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        one, least = order[first], np.minimum.reduceat(ids[order], first)
+        counts, until, low = bucket_least_ids(rows[one], least, keys[one])
+        begins, out = np.cumsum(counts) - counts, []
+        for chunk, bucket, a, b in zip(table.column("_chunk").to_pylist(), table.column("_bucket").to_pylist(), [0, *ends[:-1]], ends):
+            mine = number[a:b]
+            take = np.repeat(begins[mine], counts[mine]) + _within(counts[mine])
+            out.append((chunk, bucket, counts[mine].astype(np.uint8).tobytes(), until[take].astype(np.uint8).tobytes(), low[take].tobytes()))
         give_back()
-        return made(out, **answer)
+        return _made(out, **answer)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
-        shape = [c.combine_chunks() for c in table.columns[: len(names)]] if table.num_rows else [pa.array([], f.type) for f in arrow_own]
-        kept, removed = [], []
-        if table.num_rows:
-            is_mark = np.array([x is None for x in answers.column("_bucket").to_pylist()], bool)
-            x, texts, rows, ids = located(table, answers.filter(pa.array(is_mark)))
-            found = {b: (np.frombuffer(c, np.uint8), np.frombuffer(u, np.uint8), np.frombuffer(v, np.int64)) for b, c, u, v in zip(*(answers.filter(pa.array(~is_mark)).column(c).to_pylist() for c in ("_bucket", "a", "b", "c")))}
-            counts = np.zeros(len(x.strings), np.int64)
-            for b, part in x.buckets:
-                counts[part] = found[b][0]
-            first = np.cumsum(counts) - counts
-            until, low = np.zeros(int(counts.sum()), np.int64), np.zeros(int(counts.sum()), np.int64)
-            for b, part in x.buckets:
-                n = counts[part]
-                to = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
-                until[to], low[to] = found[b][1], found[b][2]
-            since = np.concatenate([[0], until[:-1]]) if len(until) else until
-            since[first] = 0
-            for d, k in zip(ids, rows):
-                if k not in x.texts:
-                    kept.append(texts[k])
-                    removed.append([])
-                    continue
-                body = np.frombuffer(texts[k], np.uint8)
-                step = np.zeros(len(body) + 1, np.int32)
-                p, _, seg = x.texts[k]
-                n = counts[seg]
-                r = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[seg], n)
-                gone = low[r] < (NO_ID if d is None else d)
-                p, r = np.repeat(p, n)[gone], r[gone]
-                np.add.at(step, p + since[r], 1)
-                np.add.at(step, p + until[r] + MATCH - 1, -1)
-                out = np.cumsum(step[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
-                removed.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                kept.append(body[~out].tobytes())
+        if not table.num_rows:
+            return pa.Table.from_arrays([*[pa.array([], f.type) for f in arrow_own], pa.array([], pa.binary()), _spans(*(np.zeros(0, np.int64),) * 3)], names=[*columns, "kept", "removed"])
+        is_mark = pa.array([x is None for x in answers.column("_bucket").to_pylist()], pa.bool_())
+        x, texts, ids = located(table, answers.filter(is_mark))
+        rest = answers.filter(pa.array([not v for v in is_mark.to_pylist()], pa.bool_()))
+        found = {b: tuple(np.frombuffer(v, kind) for v, kind in zip(abc, (np.uint8, np.uint8, np.int64))) for b, *abc in zip(*(rest.column(c).to_pylist() for c in ("_bucket", "a", "b", "c")))}
+        # runs of all segments, one bucket after the other
+        counts, first = np.zeros(len(x.rows), np.int64), np.zeros(len(x.rows), np.int64)
+        until, low, begin = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for b, part in x.buckets:
+            n, u, v = found[b]
+            counts[part] = n
+            first[part] = begin + np.cumsum(n, dtype=np.int64) - n
+            begin += len(u)
+            until.append(u.astype(np.int64))
+            low.append(v)
+        until, low = np.concatenate(until), np.concatenate(low)
+        since = np.concatenate([[0], until[:-1]]) if len(until) else until
+        since[first[counts > 0]] = 0
+        n = counts[x.number]
+        run = np.repeat(first[x.number], n) + _within(n)
+        less = low[run] < np.repeat(ids[x.text], n)
+        at, run = np.repeat(x.at, n)[less], run[less]
+        body = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        step = np.bincount(at + since[run], minlength=len(body) + 1) - np.bincount(at + until[run] + MATCH - 1, minlength=len(body) + 1)
+        out = np.cumsum(step)[:-1] > 0
+        edge = np.zeros(len(body) + 1, bool)
+        edge[ends] = edge[0] = True  # runs end where their text does
+        edge[1:-1] |= out[1:] != out[:-1]
+        at = np.flatnonzero(edge)
+        a, b = at[:-1], at[1:]
+        a, b = a[out[a]], b[out[a]]
+        doc = np.searchsorted(ends, a, side="right")
+        kept = np.concatenate([[0], np.cumsum(~out)])[np.concatenate([[0], ends])].astype(np.int32)
+        shape = [table.column(place[c]).combine_chunks() for c in columns]
+        kept_bytes = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(kept.tobytes()), pa.py_buffer(body[~out].tobytes())])
+        spans = _spans(np.bincount(doc, minlength=len(texts)), a - starts[doc], b - starts[doc])
         give_back()
-        return pa.Table.from_arrays([*shape, pa.array(kept, pa.binary()), pa.array(removed, span)], names=[*names, "kept", "removed"])
+        return pa.Table.from_arrays([*shape, kept_bytes, spans], names=[*columns, "kept", "removed"])
 
     hashed = dealt.groupBy("_chunk").applyInArrow(anchors, "_bucket long, _chunk long, h binary, n binary")
     marked = hashed.groupBy("_bucket").applyInArrow(shared, answer_ddl)
     cut = dealt.groupBy("_chunk").cogroup(marked.groupBy("_chunk")).applyInArrow(segments, "_bucket long, _chunk long, body binary, sizes binary, ids binary, keys binary")
     merged = cut.groupBy("_bucket").applyInArrow(merge, answer_ddl)
-    return dealt.groupBy("_chunk").cogroup(marked.unionByName(merged).groupBy("_chunk")).applyInArrow(remove, f"{own}, kept binary, removed array<struct<start:long,stop:long>>")
+    return dealt.groupBy("_chunk").cogroup(marked.unionByName(merged).groupBy("_chunk")).applyInArrow(remove, f"{own}, kept binary, removed {SPANS}")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """The columns asked for (all, if none are), `kept` (binary, the bytes that stay) and `removed` (array of start, stop: the maximal removed runs)."""
+    docs = docs.drop("kept", "removed", "_chunk", "_digest", "_first", "_firsts", "_many")
+    columns = docs.columns if columns is None else columns
+    long = F.coalesce(F.octet_length(text), F.lit(0)) >= MATCH
+    docs = docs.withColumn("_digest", F.when(long, F.unhex(F.sha2(text, 256))))
+    # of each text over MATCH bytes: its bytes, its rows, its smallest id (null: only null ids), and the rows with that id
+    by_id = docs.where(long).groupBy("_digest", key).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(text)).alias("size"))
+    known = materialize(
+        by_id.groupBy("_digest").agg(F.sum("n").alias("n"), F.max("size").cast("long").alias("size"), F.min(F.struct(F.col(key).isNull(), F.col(key).alias("id"), F.col("n").alias("n"))).alias("first"))
+        .select("_digest", "n", "size", F.col("first.id").alias("_first"), F.col("first.n").alias("_firsts"))
+    )
+    total = known.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    copies = known.where("n > 1").select("_digest", "_first", "_firsts")
+    joined = join_small(docs, copies, "_digest")
+    single = F.col("_firsts").isNull()
+    is_first = F.col(key).eqNullSafe(F.col("_first"))
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    gone = ~single & ~is_first
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length(text).cast("long").alias("stop")))
+    decided = joined.where(~long | gone).select(
+        *columns, F.when(gone, F.lit(b"")).otherwise(body).alias("kept"), F.when(gone, whole).otherwise(F.array()).cast(SPANS).alias("removed")
+    )
+    alone = joined.where(long & (single | (is_first & (F.col("_firsts") == 1))))
+    if copies.where("_firsts > 1").isEmpty():
+        return decided.unionByName(_shared_windows(alone, key, text, columns, total))
+    # rows that repeat a text and its smallest id: searched once, and joined back with salts
+    repeats = joined.where(long & is_first & (F.col("_firsts") > 1))
+    once = repeats.select(key, text, "_digest").dropDuplicates(["_digest"])
+    names = list(dict.fromkeys([*columns, key, text, "_digest"]))
+    other = [c for c in names if c not in (key, text, "_digest")]
+    types = dict(joined.dtypes)
+    rows = alone.select(*names, F.lit(False).alias("_many")).unionByName(once.select(key, text, "_digest", *[F.lit(None).cast(types[c]).alias(c) for c in other], F.lit(True).alias("_many")))
+    found = materialize(_shared_windows(rows, key, text, [*dict.fromkeys([*columns, "_digest"]), "_many"], total))
+    again = join_small(repeats.select(*dict.fromkeys([*columns, "_digest"])), found.where("_many").select("_digest", "kept", "removed"), "_digest", max_rows=-1)
+    wanted = [*columns, "kept", "removed"]
+    return decided.unionByName(found.where("NOT _many").select(*wanted)).unionByName(again.select(*wanted))

@@ -44,10 +44,10 @@ def test_op4_equals_brute_force_on_all_documents(spark):
     assert sorted(tuple(r) for r in queries.op4_suffix_dedup(spark, SF).collect()) == sorted(brute(docs))
 
 
-@pytest.mark.parametrize("hot", [0, 2000])
+@pytest.mark.parametrize("hot", [0, 512])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_random_copies(spark, monkeypatch, hot, seed):
-    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 4000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 9000)
     monkeypatch.setattr(suffix_dedup, "PASS_BYTES", 700)
@@ -74,5 +74,25 @@ def test_merge_orders_all_windows():
     for s, i in zip(strings, ids.tolist()):
         for k in range(len(s) - 49):
             least[s[k : k + 50]] = min(i, least.get(s[k : k + 50], i))
-    for s, w in zip(strings, suffix_dedup.least_ids(strings, ids)):
-        assert w.tolist() == [least[s[k : k + 50]] for k in range(len(s) - 49)]
+    sizes = np.array([len(s) for s in strings])
+    rows = suffix_dedup.segment_rows(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert suffix_dedup.least_ids(rows, ids).tolist() == [least[s[k : k + 50]] for s in strings for k in range(len(s) - 49)]
+
+
+def test_equal_hashes_do_not_join_different_segments(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "row_hashes", lambda rows: np.zeros(len(rows), np.uint64))
+    body = np.frombuffer(b"".join(bytes([65 + k % 3]) * 60 for k in range(9)), np.uint8)
+    rows = suffix_dedup.segment_rows(body, np.arange(9) * 60, np.full(9, 60))
+    order, first, _ = suffix_dedup.distinct_rows(rows)
+    assert len(first) == 3 and all((rows[order[a]] == rows[order[a + 1]]).all() for a in first)
+
+
+def test_rows_that_repeat_the_smallest_id_of_a_text(spark):
+    """Also where all of them have no id; other columns stay each row's own."""
+    text, other = "one passage of more than fifty bytes, which some rows repeat; ", "another passage of more than fifty bytes altogether. "
+    rows = [(None, other, 1), (None, other, 2), (4, text + other, 3), (4, text + other, 4), (9, text + other, 5), (2, text, 6), (2, text, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    found = suffix_dedup.deduplicate(df).collect()
+    want = {x: b[2:] for x, b in zip(range(1, 8), brute([r[:2] for r in rows]))}
+    assert {r.extra: (len(r.text.encode()) - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in found} == want
+    assert suffix_dedup.deduplicate(df, columns=["extra"]).columns == ["extra", "kept", "removed"]
