@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ CACHE_WORDS, CACHED_BYTES = 300_000, 40
 MARKS = b'.,!?;:)'
 #: Lower-case letters that are single code points in every normal form the tokenizer uses.
 LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u0148\u014a-\u017e]+")
-NO_RANK = 1 << 40
+NO_RANK = np.int32(2**31 - 1)
 #: Text that is split into words at a time.
 CHUNK_BYTES = 1 << 21
 
@@ -73,60 +74,63 @@ class WordCoder:
         names = {**{b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}}
         names |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in names)}
         vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.inside = np.array([vocab[names[b]] for b in range(256)], np.int64)
-        self.final = np.array([vocab[names[b] + "</w>"] for b in range(256)], np.int64)
+        self.inside = np.array([vocab[names[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocab[names[b] + "</w>"] for b in range(256)], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.loads(self.tok.to_str())["model"]["merges"]]
         key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key)
-        self.pair_key, self.pair_rank = key[order], order
-        self.pair_id = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.pair_key, self.pair_rank = key[order], order.astype(np.int32)
+        self.pair_id = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        # ranks of two byte symbols, by the first one's byte and the second one's, which are 256 more where they end a word
+        self.byte_rank = self._rank(np.repeat(self.inside, 512), np.tile(np.concatenate([self.inside, self.final]), 256))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         at = np.searchsorted(self.pair_key, key)
         at[at == len(self.pair_key)] = 0
         return np.where(self.pair_key[at] == key, self.pair_rank[at], NO_RANK)
 
     def latin(self, words: list[bytes]) -> list[bytes]:
-        """Ids of lower-case words of Latin letters: all words of one length merge together, each its best pair in a round."""
-        out: list[bytes] = [b""] * len(words)
-        sizes = np.array([len(w) for w in words])
-        for n in np.unique(sizes).tolist():
-            rows = np.flatnonzero(sizes == n)
-            codes = np.frombuffer(b"".join([words[k] for k in rows.tolist()]), np.uint8).reshape(len(rows), n)
-            ids = np.concatenate([self.inside[codes[:, :-1]], self.final[codes[:, -1:]]], axis=1)
-            rank = np.concatenate([self._rank(ids[:, :-1], ids[:, 1:]), np.full((len(rows), 1), NO_RANK)], axis=1)
-            size = np.full(len(rows), n)
-            live = np.arange(len(rows)) if n > 1 else np.zeros(0, np.int64)
-            while len(live):
-                at = rank[live].argmin(axis=1)
-                best = rank[live, at]
-                live, at, best = live[best < NO_RANK], at[best < NO_RANK], best[best < NO_RANK]
-                if not len(live):
+        """Ids of lower-case words of Latin letters: all words merge together, each its first best pair in a round."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer(b"".join(words), np.uint8)
+        last = np.zeros(len(codes), bool)
+        last[np.cumsum(sizes) - 1] = True
+        ids, word = np.where(last, self.final[codes], self.inside[codes]), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        rank = np.full(len(codes), NO_RANK, np.int32)
+        rank[:-1] = self.byte_rank[(codes[:-1].astype(np.int32) << 9) + codes[1:] + (last[1:].astype(np.int32) << 8)]
+        rank[last] = NO_RANK
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            counts = np.diff(np.append(starts, len(word)))
+            best = np.minimum.reduceat(rank, starts)
+            going = best < NO_RANK
+            if not going.all():
+                stay = np.repeat(going, counts)
+                done.append((ids[~stay], word[~stay]))
+                ids, word, rank, last = ids[stay], word[stay], rank[stay], last[stay]
+                best, counts = best[going], counts[going]
+                if not len(ids):
                     break
-                size[live] -= 1
-                step = np.minimum(np.arange(n)[None] + (np.arange(n)[None] > at[:, None]), n - 1)
-                ids[live] = np.take_along_axis(ids[live], step, 1)
-                rank[live] = np.take_along_axis(rank[live], step, 1)
-                ids[live, at] = self.pair_id[best]
-                rank[live, size[live] - 1] = NO_RANK
-                inner = at < size[live] - 1
-                rank[live[inner], at[inner]] = self._rank(ids[live[inner], at[inner]], ids[live[inner], at[inner] + 1])
-                inner = at > 0
-                rank[live[inner], at[inner] - 1] = self._rank(ids[live[inner], at[inner] - 1], ids[live[inner], at[inner]])
-            raw = ids.astype("<u4")
-            for k, r, m in zip(rows.tolist(), raw, size.tolist()):
-                out[k] = r[:m].tobytes()
-        return out
-
-    def letters(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words of letters alone."""
-        texts = [w if w.isascii() else low.encode() if LATIN.fullmatch(low := w.decode("utf-8", "replace").lower()) else None for w in words]
-        easy = [k for k, t in enumerate(texts) if t is not None and len(t) <= CACHED_BYTES]
-        hard = [k for k, t in enumerate(texts) if t is None or len(t) > CACHED_BYTES]
-        out = dict(zip(easy, self.latin([texts[k].lower() for k in easy])))
-        out.update(zip(hard, self.joined([words[k] for k in hard])))
-        return [out[k] for k in range(len(words))]
+            hit = np.flatnonzero(rank == np.repeat(best, counts))
+            at = hit[np.concatenate([[True], word[hit[1:]] != word[hit[:-1]]])]
+            ids[at] = self.pair_id[best]
+            last[at] |= last[at + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # one symbol went in each word before
+            ids, word, rank, last = ids[keep], word[keep], rank[keep], last[keep]
+            rank[at] = NO_RANK
+            inner = at[~last[at]]
+            before = at[at > 0] - 1
+            before = before[~last[before]]
+            changed = np.concatenate([inner, before])
+            rank[changed] = self._rank(ids[changed], ids[changed + 1])
+        flat, word = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        raw = flat[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def joined(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters of any script, encoded as one text: each ends in the one token that ends a word."""
@@ -143,26 +147,50 @@ class WordCoder:
         # ASCII capitals are folded first, which the tokenizer does too; not where a special token may be spelt
         return text.split() if b"<|" in text else text.lower().split()
 
-    def learn(self, ask: list[bytes]) -> None:
-        """Add words to the cache. A word of letters and trailing marks is made of both parts' ids."""
+    def learn(self, ask: set[bytes]) -> None:
+        """Add words to the cache. A word of letters and trailing marks is made of both parts' ids.
+
+        Whether it is one is asked of the normal form: a letter whose lower case ends in a combining mark would take the
+        trailing marks into its own token.
+        """
         new, old = self.new, self.old
-        plain, other, made = set(), set(), []
-        for w in ask:
+        plain = set(filter(bytes.isalpha, ask))  # ASCII letters alone
+        lower: dict[bytes, bytes] = {}  # of other words of Latin letters
+        letters, other, made = set(), set(), []
+        for w in ask.difference(plain):
             stem = w.rstrip(MARKS)
-            if stem.isalpha() or (not stem.isascii() and stem.decode("utf-8", "replace").isalpha()):
-                marks = w[len(stem) :]
-                if marks:
-                    made.append((w, stem, marks))
-                    if marks not in new:
-                        other.add(marks)
-                if stem not in new:
-                    plain.add(stem)
-            else:
+            if stem.isalpha():
+                plain.add(stem)
+            elif stem.isascii():
                 other.add(w)
-        for group, encode in ((plain, self.letters), (other, self.raw)):
-            known = [w for w in group if w in old]
-            new.update((w, old[w]) for w in known)
-            todo = list(group.difference(known))
+                continue
+            elif stem not in lower and stem not in letters:
+                low = unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower()
+                if LATIN.fullmatch(low):
+                    lower[stem] = low.encode()
+                elif low.isalpha():
+                    letters.add(stem)
+                else:
+                    other.add(w)
+                    continue
+            if len(stem) < len(w):
+                made.append((w, stem, w[len(stem) :]))
+        other.update({m for _, _, m in made}.difference(new))
+        lower.update((w, w.lower()) for w in plain)
+        for w in lower.keys() & new.keys():
+            del lower[w]
+        for w in lower.keys() & old.keys():
+            new[w] = old[w]
+            del lower[w]
+        for w in [w for w in lower if len(w) > CACHED_BYTES]:
+            letters.add(w)
+            del lower[w]
+        if lower:
+            new.update(zip(lower, self.latin(list(lower.values()))))
+        letters.difference_update(new)
+        for group, encode in ((letters, self.joined), (other, self.raw)):
+            new.update((w, old[w]) for w in group if w in old)
+            todo = [w for w in group if w not in old]
             for k in range(0, len(todo), 65_536):
                 new.update(zip(part := todo[k : k + 65_536], encode(part)))
         for w, stem, marks in made:
@@ -174,7 +202,7 @@ class WordCoder:
         ask = set().union(*lists).difference(new)
         known = [w for w in ask if w in old]
         new.update((w, old[w]) for w in known)
-        self.learn(list(ask.difference(known)))
+        self.learn(ask.difference(known))
         out = [b"".join(map(new.__getitem__, ws)) for ws in lists]
         for w in ask:
             if len(w) > CACHED_BYTES:

@@ -34,29 +34,41 @@ BLOCK = 256
 PERCENTILE = 90
 SHARD_IDS = 1 << 20
 HEAD = struct.Struct("<4sQQQ")
-BLOCK_HEAD = struct.Struct("<IBHH")
+BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2"), ("exceptions", "<u2")])
 
 
-def pack_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the counts, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Blocks of the ids in order, and the n + 1 starts of the blocks."""
     n = len(ids)
     rows = -(-n // BLOCK)
     if not rows:
-        return [], np.zeros(1, "<u8")
+        return b"", np.zeros(1, "<u8")
     padded = np.concatenate([ids, np.full(rows * BLOCK - n, ids[-1], ids.dtype)]).astype(np.uint64).reshape(rows, BLOCK)
     low = padded.min(axis=1)
     rest = padded - low[:, None]
     mark = np.partition(rest, BLOCK * PERCENTILE // 100 - 1, axis=1)[:, BLOCK * PERCENTILE // 100 - 1]
-    width = np.ceil(np.log2(mark.astype(np.float64) + 1)).astype(np.uint64)
-    over = rest >> width[:, None] > 0
-    blocks: list[bytes] = [b""] * rows
-    for w in np.unique(width):
+    width = np.ceil(np.log2(mark.astype(np.float64) + 1)).astype(np.int64)
+    block, place = np.nonzero(rest >> width[:, None].astype(np.uint64))
+    exceptions = np.bincount(block, minlength=rows)
+    heads = np.zeros(rows, BLOCK_HEAD)
+    heads["low"], heads["width"], heads["n"], heads["exceptions"] = low, width, BLOCK, exceptions
+    heads["n"][-1] = n - (rows - 1) * BLOCK
+    starts = np.concatenate([[0], np.cumsum(BLOCK_HEAD.itemsize + 32 * width + 5 * exceptions)])
+    out = np.empty(int(starts[-1]), np.uint8)
+    out[starts[:-1, None] + np.arange(BLOCK_HEAD.itemsize)] = heads.view(np.uint8).reshape(rows, -1)
+    for w in np.unique(width).tolist():
         at = np.flatnonzero(width == w)
-        packed = _pack(rest[at].reshape(-1, 64), int(w)).reshape(len(at), -1)
-        for k, words in zip(at.tolist(), packed):
-            places = np.flatnonzero(over[k])
-            blocks[k] = BLOCK_HEAD.pack(int(low[k]), int(w), min(BLOCK, n - k * BLOCK), len(places)) + words.tobytes() + places.astype(np.uint8).tobytes() + rest[k, places].astype("<u4").tobytes()
-    return blocks, np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
+        packed = _pack(rest[at].reshape(-1, 64), w).view(np.uint8).reshape(len(at), 32 * w)
+        out[(starts[at] + BLOCK_HEAD.itemsize)[:, None] + np.arange(32 * w)] = packed
+    after = starts[:-1] + BLOCK_HEAD.itemsize + 32 * width
+    out[_places(after, exceptions)] = place
+    out[_places(after + exceptions, 4 * exceptions)] = rest[block, place].astype("<u4").view(np.uint8)
+    return out.tobytes(), starts.astype("<u8")
 
 
 def _pack(values: np.ndarray, w: int) -> np.ndarray:
@@ -84,7 +96,7 @@ def _unpack(words: np.ndarray, w: int) -> np.ndarray:
 def image_of(ids: np.ndarray, lengths: list[int], doc_ids: list[int | None]) -> bytes:
     blocks, starts = pack_blocks(ids)
     present = np.array([d is not None for d in doc_ids], np.uint8)
-    return b"".join([HEAD.pack(b"QMT1", len(ids), len(lengths), len(blocks)), starts.tobytes(), *blocks, np.array(lengths, "<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), present.tobytes()])
+    return b"".join([HEAD.pack(b"QMT1", len(ids), len(lengths), len(starts) - 1), starts.tobytes(), blocks, np.array(lengths, "<u4").tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), present.tobytes()])
 
 
 def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray, list[int | None]]:
@@ -107,19 +119,20 @@ def read_ids(image: bytes, start: int, stop: int) -> np.ndarray:
     if start >= stop:
         return np.zeros(0, "<u4")
     base, first, last = HEAD.size + 8 * (n_blocks + 1), start // BLOCK, (stop - 1) // BLOCK
-    starts = np.frombuffer(image, "<u8", n_blocks + 1, HEAD.size)
-    heads = [BLOCK_HEAD.unpack_from(image, base + int(starts[k])) for k in range(first, last + 1)]
-    out = np.zeros((last - first + 1, BLOCK), np.uint64)
-    widths = np.array([h[1] for h in heads])
-    for w in np.unique(widths):
-        at = np.flatnonzero(widths == w)
-        words = np.stack([np.frombuffer(image, "<u8", 4 * w, base + int(starts[first + k]) + BLOCK_HEAD.size) for k in at.tolist()])
-        out[at] = _unpack(words.reshape(-1, int(w)) if w else np.zeros((4 * len(at), 0), np.uint64), int(w)).reshape(len(at), BLOCK)
-    for k, (_, w, _, n) in enumerate(heads):
-        if n:
-            at = base + int(starts[first + k]) + BLOCK_HEAD.size + 32 * w
-            out[k, np.frombuffer(image, np.uint8, n, at)] = np.frombuffer(image, "<u4", n, at + n)
-    out += np.array([h[0] for h in heads], np.uint64)[:, None]
+    starts = np.frombuffer(image, "<u8", n_blocks + 1, HEAD.size)[first : last + 2].astype(np.int64)
+    body = np.frombuffer(image, np.uint8, int(starts[-1] - starts[0]), base + int(starts[0]))
+    starts = starts[:-1] - starts[0]
+    heads = body[starts[:, None] + np.arange(BLOCK_HEAD.itemsize)].view(BLOCK_HEAD).reshape(-1)
+    out = np.zeros((len(starts), BLOCK), np.uint64)
+    width, exceptions = heads["width"].astype(np.int64), heads["exceptions"].astype(np.int64)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        words = body[(starts[at] + BLOCK_HEAD.itemsize)[:, None] + np.arange(32 * w)].reshape(-1).view("<u8")
+        out[at] = _unpack(words.reshape(4 * len(at), w), w).reshape(len(at), BLOCK)
+    after = starts + BLOCK_HEAD.itemsize + 32 * width
+    block, place = np.repeat(np.arange(len(starts)), exceptions), body[_places(after, exceptions)]
+    out[block, place] = body[_places(after + exceptions, 4 * exceptions)].view("<u4")
+    out += heads["low"].astype(np.uint64)[:, None]
     return out.reshape(-1)[start - first * BLOCK : stop - first * BLOCK].astype("<u4")
 
 

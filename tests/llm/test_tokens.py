@@ -82,3 +82,26 @@ def test_token_files_of_nulls_repeats_and_nothing(spark):
     assert rows == [(None, 0, 2), (1, 2, 1), (2, 3, 1), (3, 4, 3), (3, 7, 3)]
     assert token_file.read_token_files(token_file.write_token_files(df.limit(0))).count() == 0
     assert bpe.encode(df.limit(0)).count() == 0
+
+
+def fuzz_texts(seed, n):
+    """Short texts over scripts, combining and trailing marks, spellings of special tokens, case pairs and white space."""
+    rng = random.Random(seed)
+    pools = [
+        "abcdefgXYZ", "éèêëïîôöùüÿçñåÅÉßẞſ", "İıǅǆŉŀĿΣσςΩΩKÅ", "жщЫЯёЁ", "अआकखि", "的一是不", "กขคงจ", "شسيبا", "ｱｲｳﾞ", "ﬁﬂ½²①Ⅷ",
+        "ְ́̇̈ͅि", ".,!?;:)", "'\"-_(#*&", "0123456789", "😀👩‍👧‍️", "\x00\x1c\x85\xa0 　",
+    ]
+    words = ["'s", "'ll", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|end", "the", "and", "İ;", "i̇.", "</w>"]
+    for _ in range(n):
+        part = rng.sample(pools, rng.randint(1, 3))
+        yield "".join(rng.choice(words) if rng.random() < 0.06 else " " if rng.random() < 0.12 else rng.choice(rng.choice(part)) for _ in range(rng.randint(1, 24)))
+
+
+def test_random_texts_of_many_scripts_equal_the_library(tok):
+    texts = list(fuzz_texts(11, 60_000))
+    coder = bpe.WordCoder(bpe.tokenizer_path())
+    for k in range(0, len(texts), 5000):
+        part = texts[k : k + 5000]
+        want = [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
+        for t, got, ids in zip(part, coder.encode([t.encode() for t in part]), want):
+            assert np.frombuffer(got, "<u4").tolist() == ids, t
