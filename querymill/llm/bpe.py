@@ -36,9 +36,13 @@ CACHE_WORDS, CACHED_BYTES = 300_000, 40
 MARKS = b'.,!?;:)'
 #: Lower-case letters that are single code points in every normal form the tokenizer uses.
 LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u0148\u014a-\u017e]+")
+#: Kinds of bytes, and the longest word that is merged with others.
+SPACE, LETTER, MARK, OTHER = range(4)
+LATIN_BYTES = 24
+SLOT_BITS, SLOT_FACTOR = 18, 0x9E3779B97F4A7C15
 NO_RANK = np.int32(2**31 - 1)
 #: Text that is split into words at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 6 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,6 +51,72 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@functools.lru_cache(maxsize=1)
+def byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte: lower case and kind. By two bytes (the first as high part): the lower case of Latin letters, 0 for others."""
+    lower = np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    kind = np.full(256, OTHER, np.uint8)
+    kind[97:123] = kind[65:91] = LETTER
+    kind[list(MARKS)] = MARK
+    kind[list(b" \t\n\v\f\r")] = SPACE
+    pairs = np.zeros(1 << 16, np.uint16)
+    for c in map(chr, range(0x80, 0x800)):
+        low = c.lower()
+        if LATIN.fullmatch(low) and len(raw := low.encode()) == 2 and unicodedata.normalize("NFC", c) == c:
+            pairs[int.from_bytes(c.encode(), "big")] = int.from_bytes(raw, "big")
+    return lower, kind, pairs
+
+
+def classified(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The text with ASCII and Latin capitals in lower case (of no other length), and the kind of each byte."""
+    raw = np.frombuffer(text, np.uint8)
+    lower, kinds, pairs = byte_tables()
+    body, kind = lower[raw], kinds[raw]
+    lead = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC5))
+    low = pairs[raw[lead].astype(np.int64) << 8 | raw[lead + 1]]
+    lead, low = lead[low > 0], low[low > 0]
+    body[lead], body[lead + 1] = low >> 8, low & 255
+    kind[lead] = kind[lead + 1] = LETTER
+    return body, kind
+
+
+def _counts(mask: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """How many places of each span are marked."""
+    upto = np.cumsum(mask, dtype=np.int32)
+    upto = np.concatenate([np.zeros(1, np.int32), upto])
+    return (upto[stop] - upto[start]).astype(np.int64)
+
+
+def distinct_words(body: np.ndarray, start: np.ndarray, size: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words among spans of up to `longest` bytes (a multiple of eight, none of them zero).
+
+    Gives their bytes, one after the other, their sizes, and each span's place in them.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint8), *(np.zeros(0, np.int64),) * 2
+    mask = np.where(np.arange(longest)[None] < np.arange(longest + 1)[:, None], 255, 0).astype(np.uint8).view("<u8")
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([body, np.zeros(longest, np.uint8)]), longest)[start].view("<u8") & mask[size]
+    h = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        h = (h ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    order = np.argsort(h)
+    new = np.ones(len(order), bool)
+    near = rows[order]
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    differ = (near[1:] != near[:-1]).any(axis=1)
+    if (differ & ~new[1:]).any():  # two words with one hash
+        order = np.lexsort(rows.T)
+        near = rows[order]
+        differ = (near[1:] != near[:-1]).any(axis=1)
+    new[1:] = differ
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    raw, size = near[new].view(np.uint8).reshape(-1, longest), size[order[new]]
+    return raw[np.arange(longest)[None] < size[:, None]], size, place
+
+
 class WordCoder:
     """Encodes texts (UTF-8) to ids (little-endian unsigned 32-bit) and back, as the tokenizer would."""
 
@@ -77,26 +147,40 @@ class WordCoder:
         self.inside = np.array([vocab[names[b]] for b in range(256)], np.int32)
         self.final = np.array([vocab[names[b] + "</w>"] for b in range(256)], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.loads(self.tok.to_str())["model"]["merges"]]
-        key = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(key)
-        self.pair_key, self.pair_rank = key[order], order.astype(np.int32)
+        # an open table from pair to rank
+        self.slot_key, self.slot_rank = np.full(1 << SLOT_BITS, -1, np.int64), np.full(1 << SLOT_BITS, NO_RANK, np.int32)
+        for rank, (a, b) in enumerate(pairs):
+            key = vocab[a] << 20 | vocab[b]
+            slot = (key * SLOT_FACTOR & (1 << 64) - 1) >> 64 - SLOT_BITS
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) % (1 << SLOT_BITS)
+            self.slot_key[slot], self.slot_rank[slot] = key, rank
         self.pair_id = np.array([vocab[a + b] for a, b in pairs], np.int32)
         # ranks of two byte symbols, by the first one's byte and the second one's, which are 256 more where they end a word
         self.byte_rank = self._rank(np.repeat(self.inside, 512), np.tile(np.concatenate([self.inside, self.final]), 256))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 20 | right
-        at = np.searchsorted(self.pair_key, key)
-        at[at == len(self.pair_key)] = 0
-        return np.where(self.pair_key[at] == key, self.pair_rank[at], NO_RANK)
-
-    def latin(self, words: list[bytes]) -> list[bytes]:
-        """Ids of lower-case words of Latin letters: all words merge together, each its first best pair in a round."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.frombuffer(b"".join(words), np.uint8)
+        slot = ((key.view(np.uint64) * np.uint64(SLOT_FACTOR)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        found = self.slot_key[slot]
+        rank = np.where(found == key, self.slot_rank[slot], NO_RANK)
+        rest = np.flatnonzero((found != key) & (found >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (1 << SLOT_BITS) - 1
+            found = self.slot_key[slot[rest]]
+            hit = found == key[rest]
+            rank[rest[hit]] = self.slot_rank[slot[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return rank
+
+    def latin(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of Latin letters, one after the other, and how many each has.
+
+        All words merge together, each its first best pair in a round.
+        """
         last = np.zeros(len(codes), bool)
         last[np.cumsum(sizes) - 1] = True
-        ids, word = np.where(last, self.final[codes], self.inside[codes]), np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        ids, word = np.where(last, self.final[codes], self.inside[codes]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rank = np.full(len(codes), NO_RANK, np.int32)
         rank[:-1] = self.byte_rank[(codes[:-1].astype(np.int32) << 9) + codes[1:] + (last[1:].astype(np.int32) << 8)]
         rank[last] = NO_RANK
@@ -128,9 +212,7 @@ class WordCoder:
             changed = np.concatenate([inner, before])
             rank[changed] = self._rank(ids[changed], ids[changed + 1])
         flat, word = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-        raw = flat[np.argsort(word, kind="stable")].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return flat[np.argsort(word, kind="stable")].astype("<u4"), np.bincount(word, minlength=len(sizes))
 
     def joined(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters of any script, encoded as one text: each ends in the one token that ends a word."""
@@ -143,10 +225,6 @@ class WordCoder:
         raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def words(self, text: bytes) -> list[bytes]:
-        # ASCII capitals are folded first, which the tokenizer does too; not where a special token may be spelt
-        return text.split() if b"<|" in text else text.lower().split()
-
     def learn(self, ask: set[bytes]) -> None:
         """Add words to the cache. A word of letters and trailing marks is made of both parts' ids.
 
@@ -154,41 +232,18 @@ class WordCoder:
         trailing marks into its own token.
         """
         new, old = self.new, self.old
-        plain = set(filter(bytes.isalpha, ask))  # ASCII letters alone
-        lower: dict[bytes, bytes] = {}  # of other words of Latin letters
         letters, other, made = set(), set(), []
-        for w in ask.difference(plain):
+        for w in ask:
             stem = w.rstrip(MARKS)
-            if stem.isalpha():
-                plain.add(stem)
-            elif stem.isascii():
+            if stem and not stem.isascii() and unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower().isalpha():
+                letters.add(stem)
+                if len(stem) < len(w):
+                    made.append((w, stem, w[len(stem) :]))
+            else:
                 other.add(w)
-                continue
-            elif stem not in lower and stem not in letters:
-                low = unicodedata.normalize("NFC", stem.decode("utf-8", "replace")).lower()
-                if LATIN.fullmatch(low):
-                    lower[stem] = low.encode()
-                elif low.isalpha():
-                    letters.add(stem)
-                else:
-                    other.add(w)
-                    continue
-            if len(stem) < len(w):
-                made.append((w, stem, w[len(stem) :]))
-        other.update({m for _, _, m in made}.difference(new))
-        lower.update((w, w.lower()) for w in plain)
-        for w in lower.keys() & new.keys():
-            del lower[w]
-        for w in lower.keys() & old.keys():
-            new[w] = old[w]
-            del lower[w]
-        for w in [w for w in lower if len(w) > CACHED_BYTES]:
-            letters.add(w)
-            del lower[w]
-        if lower:
-            new.update(zip(lower, self.latin(list(lower.values()))))
-        letters.difference_update(new)
+        other.update(m for _, _, m in made)
         for group, encode in ((letters, self.joined), (other, self.raw)):
+            group.difference_update(new)
             new.update((w, old[w]) for w in group if w in old)
             todo = [w for w in group if w not in old]
             for k in range(0, len(todo), 65_536):
@@ -196,14 +251,14 @@ class WordCoder:
         for w, stem, marks in made:
             new[w] = new[stem] + new[marks]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        lists = [self.words(t) for t in texts]
+    def cached(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of any kind, through the cache."""
         new, old = self.new, self.old
-        ask = set().union(*lists).difference(new)
+        ask = set(words).difference(new)
         known = [w for w in ask if w in old]
         new.update((w, old[w]) for w in known)
         self.learn(ask.difference(known))
-        out = [b"".join(map(new.__getitem__, ws)) for ws in lists]
+        out = list(map(new.__getitem__, words))
         for w in ask:
             if len(w) > CACHED_BYTES:
                 del new[w]
@@ -211,6 +266,44 @@ class WordCoder:
             self.old, self.new = new if len(new) < 3 * CACHE_WORDS else {}, {}
         return out
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Words of Latin letters with trailing marks are found, told apart and merged in arrays; others go through the cache."""
+        whole = b"\n".join(texts)
+        body, kind = classified(whole)
+        space = kind == SPACE
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        edge = np.concatenate([[0] if len(space) and not space[0] else [], edge, [len(space)] if len(space) and not space[-1] else []]).astype(np.int64)
+        start, stop = edge[::2], edge[1::2]
+        # marks that end a word; what is no Latin word, or has marks elsewhere, is hard
+        is_mark = kind == MARK
+        odd = kind == OTHER
+        odd[:-1] |= is_mark[:-1] & (kind[1:] == LETTER)
+        marks, odds = _counts(is_mark, start, stop), _counts(odd, start, stop)
+        size = stop - start - marks
+        hard = (odds > 0) | (size == 0) | (size > LATIN_BYTES) | (marks > 8)
+        easy = ~hard
+        tailed = np.flatnonzero(easy & (marks > 0))
+        stems, stem_sizes, stem_of = distinct_words(body, start[easy], size[easy], LATIN_BYTES)
+        tails, tail_sizes, tail_of = distinct_words(body, stop[tailed] - marks[tailed], marks[tailed], 8)
+        cuts = np.cumsum(tail_sizes).tolist()
+        coded_tails = self.cached([tails[a:b].tobytes() for a, b in zip([0, *cuts], cuts)])
+        # ASCII capitals are folded first, which the tokenizer does too; not where a special token may be spelt
+        raw_hard = [w if b"<|" in w else w.lower() for w in (whole[a:b] for a, b in zip(start[hard].tolist(), stop[hard].tolist()))]
+        coded_hard = self.cached(raw_hard)
+        ids, n = self.latin(stems, stem_sizes)
+        # a word is two units of the dictionary: stem and marks, or itself and nothing
+        lengths = np.concatenate([n, np.fromiter(map(len, coded_tails), np.int64, len(coded_tails)) // 4, np.fromiter(map(len, coded_hard), np.int64, len(coded_hard)) // 4, [0]])
+        flat = np.concatenate([ids, np.frombuffer(b"".join(coded_tails) + b"".join(coded_hard), "<u4")])
+        unit = np.full((len(start), 2), len(lengths) - 1, np.int64)
+        unit[easy, 0], unit[tailed, 1] = stem_of, tail_of + len(n)
+        unit[hard, 0] = np.arange(len(coded_hard)) + len(n) + len(coded_tails)
+        first, count = (np.cumsum(lengths) - lengths)[unit].reshape(-1), lengths[unit].reshape(-1)
+        before = np.concatenate([[0], np.cumsum(count)])
+        out = flat[np.repeat(first - before[:-1], count) + np.arange(before[-1])].tobytes()
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        at = (4 * before[2 * np.searchsorted(start, np.concatenate([[0], ends]))]).tolist()
+        return [out[a:b] for a, b in zip(at, at[1:])]
+
     def forget(self) -> None:
         """Empty the word cache."""
         self.new, self.old = {}, {}
