@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querymill.llm.common import give_back
+from querymill.llm.common import HashTable, give_back
 
 PIECE_BYTES = 1 << 15
 WINDOW = 64
@@ -39,7 +39,6 @@ LATIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff\u0101-\u012f\u0131-\u0148\u01
 #: Kinds of bytes, and the longest word that is merged with others.
 SPACE, LETTER, MARK, OTHER = range(4)
 LATIN_BYTES = 24
-SLOT_BITS, SLOT_FACTOR = 18, 0x9E3779B97F4A7C15
 NO_RANK = np.int32(2**31 - 1)
 #: Text that is split into words at a time.
 CHUNK_BYTES = 6 << 20
@@ -147,31 +146,14 @@ class WordCoder:
         self.inside = np.array([vocab[names[b]] for b in range(256)], np.int32)
         self.final = np.array([vocab[names[b] + "</w>"] for b in range(256)], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.loads(self.tok.to_str())["model"]["merges"]]
-        # an open table from pair to rank
-        self.slot_key, self.slot_rank = np.full(1 << SLOT_BITS, -1, np.int64), np.full(1 << SLOT_BITS, NO_RANK, np.int32)
-        for rank, (a, b) in enumerate(pairs):
-            key = vocab[a] << 20 | vocab[b]
-            slot = (key * SLOT_FACTOR & (1 << 64) - 1) >> 64 - SLOT_BITS
-            while self.slot_key[slot] >= 0:
-                slot = (slot + 1) % (1 << SLOT_BITS)
-            self.slot_key[slot], self.slot_rank[slot] = key, rank
+        self.pairs = HashTable(np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64))  # places are ranks
         self.pair_id = np.array([vocab[a + b] for a, b in pairs], np.int32)
         # ranks of two byte symbols, by the first one's byte and the second one's, which are 256 more where they end a word
         self.byte_rank = self._rank(np.repeat(self.inside, 512), np.tile(np.concatenate([self.inside, self.final]), 256))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 20 | right
-        slot = ((key.view(np.uint64) * np.uint64(SLOT_FACTOR)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
-        found = self.slot_key[slot]
-        rank = np.where(found == key, self.slot_rank[slot], NO_RANK)
-        rest = np.flatnonzero((found != key) & (found >= 0))
-        while len(rest):
-            slot[rest] = (slot[rest] + 1) & (1 << SLOT_BITS) - 1
-            found = self.slot_key[slot[rest]]
-            hit = found == key[rest]
-            rank[rest[hit]] = self.slot_rank[slot[rest[hit]]]
-            rest = rest[~hit & (found >= 0)]
-        return rank
+        rank = self.pairs.find(left.astype(np.int64) << 20 | right)
+        return np.where(rank < 0, NO_RANK, rank)
 
     def latin(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of lower-case words of Latin letters, one after the other, and how many each has.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,41 @@ def give_back() -> None:
         pass
 
 
+class HashTable:
+    """Places of distinct 64-bit keys: an open table, searched for many keys at a time."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        keys = np.ascontiguousarray(keys).view(np.uint64)
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        self.keys, self.places = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        rest, slot = np.arange(len(keys)), self._slot(keys)
+        while len(rest):
+            free = self.places[slot] < 0
+            self.places[slot[free]] = rest[free]
+            lost = self.places[slot] != rest
+            rest, slot = rest[lost], (slot[lost] + 1) & (1 << self.bits) - 1
+        held = self.places >= 0
+        self.keys[held] = keys[self.places[held]]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' places, -1 where there is none."""
+        keys = np.ascontiguousarray(keys).view(np.uint64).reshape(-1)
+        slot = self._slot(keys)
+        out = self.places[slot]
+        rest = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        out[rest] = -1
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (1 << self.bits) - 1
+            found = self.places[slot[rest]]
+            hit = (found >= 0) & (self.keys[slot[rest]] == keys[rest])
+            out[rest[hit]] = found[hit]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v computed once, also where body uses it inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

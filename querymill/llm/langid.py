@@ -16,6 +16,7 @@ learned; repeated rows are scored each; rows with null ids are scored, and may b
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.llm.bpe import slices, tokenizer_path
-from querymill.llm.common import give_back, join_small, materialize
+from querymill.llm.common import HashTable, give_back, join_small, materialize
 
 TRAIN_ROWS_PER_LANG = 4000
 #: Languages whose probabilities are spread out at a time.
@@ -65,11 +66,14 @@ class Vocabulary:
         self.hashes = hashes[order]
         self.place = {p: k for k, p in enumerate(self.pieces)}
 
+    @functools.cached_property
+    def table(self) -> HashTable:
+        return HashTable(self.hashes)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places of the hashes, len(pieces) where there is none."""
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == h, at, len(self.hashes))
+        at = self.table.find(h).reshape(h.shape)
+        return np.where(at < 0, len(self.hashes), at)
 
 
 BASE = 0x9E3779B97F4A7C15
@@ -101,7 +105,7 @@ def _grids(vocabulary: Vocabulary, words: list[str]) -> Iterator[tuple[np.ndarra
             part = at[k : k + 8192]
             codes = np.frombuffer("".join(MARK + words[j] for j in part.tolist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), n).astype(np.uint64) + np.uint64(1)
             deep = min(int(n), vocabulary.longest)
-            grid = np.full((int(n), deep, len(part)), len(vocabulary.pieces), np.int64)
+            grid = np.full((int(n), deep, len(part)), len(vocabulary.pieces), np.int32)
             h = codes.T.copy()
             for size in range(1, deep + 1):
                 if size > 1:
@@ -175,9 +179,9 @@ class Model:
         """The same in LANGS_AT_ONCE languages."""
         probs = self.part(first)
         out = np.zeros((len(words), probs.shape[1]))
-        short = [k for k, w in enumerate(words) if len(w) <= BATCHED]
-        for part, grid in _grids(self.vocabulary, [words[k] for k in short]):
-            out[np.array(short)[part]] = np.log(_forward(grid, probs, np.float64(UNKNOWN))[-1])
+        short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= BATCHED)
+        for part, grid in _grids(self.vocabulary, [words[k] for k in short.tolist()]):
+            out[short[part]] = np.log(_forward(grid, probs, np.float64(UNKNOWN))[-1])
         for k, w in enumerate(words):
             if len(w) > BATCHED:
                 out[k] = self._long(MARK + w, first)
