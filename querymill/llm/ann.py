@@ -7,9 +7,13 @@ d apart, the squared distance of their images over d * d is chi-square distribut
 A kd-tree over the images of a bounded sample cuts the space into cells, every vector goes to its cell, and cells over
 CELL_ROWS (equal vectors cannot be cut apart) are salted into blocks. Each query first searches a block of its own cell,
 which bounds the distance d of its k-th neighbour, and then all blocks whose boxes meet the stopping radius. Inside a
-block a kd-tree gives its leaves by distance from the query's image, and their vectors are verified in full until the
-next leaf is farther than d * sqrt(chi-square quantile): by then a nearer vector would have shown up with
-probability CONFIDENCE.
+block a kd-tree gives its leaves by distance from the query's image, and of each leaf the vectors whose images lie within
+d * sqrt(chi-square quantile) are verified in full, until the next leaf is farther than that: by then a nearer vector would
+have shown up with probability CONFIDENCE.
+
+A block is sent once for each QUERY_ROWS queries that visit it, and a query to the blocks it visits, so the shuffle grows
+with the visits alone. How many those are depends on the data: where most vectors lie nearly as far as the k-th
+neighbour, no index avoids them.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take
 no part; equal scores go by smaller id; repeated ids are separate candidates except for the query's own id; fewer
@@ -29,13 +33,15 @@ from pyspark.sql import functions as F
 
 from querymill.llm.common import materialize
 
-PLANES = 8
-CONFIDENCE = 0.95
+PLANES = 32
+CONFIDENCE = 0.88
 CELL_ROWS = 4096
 LEAF_ROWS = 128
-SAMPLE_ROWS = 100_000
+SAMPLE_ROWS = 40_000
 #: Queries that one task holds beside a block.
 QUERY_ROWS = 8192
+#: Share of a leaf above which whole products are cheaper than those of the pairs asked for.
+DENSE = 0.2
 SEED = 7
 
 
@@ -80,8 +86,8 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return (np.maximum(gap, 0) ** 2).sum(axis=2)
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, images: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, q_images: np.ndarray, bound: np.ndarray, radius2: float, k: int, far2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Best k places in the block for each query (-1: none) and their scores, best first.
+def search_block(ids: np.ndarray, vectors: np.ndarray, images: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, q_images: np.ndarray, bound: np.ndarray, radius2: float, k: int, far2: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Best k places in the block for each query (-1: none), their scores, best first, and how many pairs were verified.
 
     bound: squared distance within which each query has k neighbours already; far2: the squared norm of all vectors.
     """
@@ -95,18 +101,26 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, images: np.ndarray, q_ids
     gaps = box_distance(q_images, low, high)
     path = np.argsort(gaps, axis=1, kind="stable")
     norm2 = (queries**2).sum(axis=1)
+    image2, q_image2, verified = (images**2).sum(axis=1), (q_images**2).sum(axis=1), 0
     best, score = np.full((len(q_ids), k), -1), np.full((len(q_ids), k), -np.inf)
     live = np.arange(len(q_ids))
     for step in range(len(filled)):
         nearest = np.minimum(bound[live], norm2[live] + far2 - 2 * score[live, -1])
         at = path[live, step]
         go = gaps[live, at] <= radius2 * np.maximum(nearest, 0)
-        live, at = live[go], at[go]
+        live, at, reach = live[go], at[go], radius2 * np.maximum(nearest[go], 0)
         if not len(live):
             break
         for n in np.unique(at):
             rows, who = order[starts[filled[n]] : starts[filled[n] + 1]], live[at == n]
-            found = np.round(queries[who] @ vectors[rows].T, 12)
+            near = q_image2[who][:, None] + image2[rows][None] - 2 * (q_images[who] @ images[rows].T) <= reach[at == n][:, None]
+            verified += int(near.sum())
+            if near.mean() > DENSE:
+                found = np.where(near, np.round(queries[who] @ vectors[rows].T, 12), -np.inf)
+            else:
+                found = np.full(near.shape, -np.inf)
+                a, b = np.nonzero(near)
+                found[a, b] = np.round(np.einsum("ij,ij->i", queries[who[a]], vectors[rows[b]]), 12)
             found[q_ids[who][:, None] == ids[rows][None]] = -np.inf
             every = np.concatenate([score[who], found], axis=1)
             place = np.concatenate([best[who], np.broadcast_to(rows, (len(who), len(rows)))], axis=1)
@@ -114,7 +128,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, images: np.ndarray, q_ids
             top = np.lexsort((names, -every), axis=1)[:, :k]
             score[who], best[who] = np.take_along_axis(every, top, 1), np.take_along_axis(place, top, 1)
     best[np.isneginf(score)] = -1
-    return best, score
+    return best, score, verified
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
@@ -151,16 +165,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
     depth = max(0, math.ceil(math.log2(min(n / CELL_ROWS, max(1, len(sample) / 16)))))
     tree = split_tree(sample, depth)
     place = F.pandas_udf(lambda y: pd.Series(leaf_of(np.stack(y), *tree)), "long") if depth else lambda y: F.lit(0).cast("long")
-    celled = materialize(imaged.withColumn("cell", place(F.col("y"))).withColumn("home", place(F.col("q")) if depth else F.lit(0).cast("long")))
+    celled = materialize(imaged.withColumn("cell", place(F.col("y"))))
 
     bounds = [f(F.get("y", F.lit(j))) for j in range(PLANES) for f in (F.min, F.max)]
     cells = celled.groupBy("cell").agg(F.count(F.lit(1)), *bounds).collect()  # at most 2 ** depth rows
     boxes = np.array([list(r[2:]) for r in cells]).reshape(-1, PLANES, 2)
     low, high, names = boxes[:, :, 0], boxes[:, :, 1], np.array([r["cell"] for r in cells])
     salts = np.array([-(-r[1] // CELL_ROWS) for r in cells])
-    n_salts = F.create_map(*[F.lit(int(x)) for c, s in zip(names, salts) for x in (c, s)])
-    blocks = celled.select("cell", F.pmod(F.xxhash64("id"), n_salts[F.col("cell")]).cast("int").alias("salt"), "id", "v", "y")
-    asks = celled.where("asks").select("id", "v", "q", "home")
+    # one row for each cell, of which there are at most 2 ** depth, fewer than SAMPLE_ROWS
+    n_salts = spark.createDataFrame([(int(c), int(n)) for c, n in zip(names, salts)], "cell long, salts int")
+    blocks = celled.join(F.broadcast(n_salts), "cell").select("cell", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), "id", "v", "y")
+    asks = celled.where("asks").select("id", "v", "q")
 
     def visits(first: bool):
         """(block, query) for the one block that is searched first, or for all within the stopping radius."""
@@ -188,24 +203,27 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, vectors = block["id"].to_numpy(), np.stack(block["v"])
         q_ids, asked = queries["id"].to_numpy(), np.stack(queries["v"])
-        best, _ = search_block(ids, vectors, np.stack(block["y"]), q_ids, asked, np.stack(queries["q"]), queries["bound"].to_numpy(), radius2, k, far2)
+        best, _, _ = search_block(ids, vectors, np.stack(block["y"]), q_ids, asked, np.stack(queries["q"]), queries["bound"].to_numpy(), radius2, k, far2)
         who, rank = np.nonzero(best >= 0)
         at = best[who, rank]
         return pd.DataFrame({"query_id": q_ids[who], "vec_id": ids[at], "score": (vectors[at] * asked[who]).sum(axis=1)})
 
-    def searched(visited: DataFrame, share: float) -> DataFrame:
-        parts = max(1, math.ceil(n_queries * share / QUERY_ROWS))
-        dealt = visited.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts)))
-        held = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        on = ("cell", "salt", "part")
-        return held.groupBy(*on).cogroup(dealt.groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score double")
+    def searched(visited: DataFrame) -> DataFrame:
+        """Every block goes to as many tasks as the queries that visit it fill; the queries are dealt over them."""
+        visited = materialize(visited)
+        parts = materialize(visited.groupBy("cell", "salt").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("parts")))
+        on = ["cell", "salt"]
+        dealt = visited.join(parts, on).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts"))
+        held = blocks.join(parts, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        on.append("part")
+        return held.drop("parts").groupBy(*on).cogroup(dealt.drop("parts").groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score double")
 
     visit = "cell long, salt int, id long, v array<double>, q array<double>, bound double"
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = searched(asks.mapInArrow(visits(True), visit), 1 / len(cells)).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k)
+    kth = searched(asks.mapInArrow(visits(True), visit)).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k)
     kth = kth.groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("found"))
     bounded = asks.join(kth, asks["id"] == kth["query_id"], "left").withColumn(
         "bound", F.when(F.col("found") >= k, norm2 + F.lit(far2) - 2 * F.col("s")).otherwise(F.lit(float("inf"))).cast("double")
     )
-    found = searched(bounded.select("id", "v", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound")).mapInArrow(visits(False), visit), 1.0)
+    found = searched(bounded.select("id", "v", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound")).mapInArrow(visits(False), visit))
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
