@@ -213,7 +213,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
         visited = materialize(visited)
         parts = materialize(visited.groupBy("cell", "salt").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERY_ROWS)).cast("int").alias("parts")))
         on = ["cell", "salt"]
-        dealt = visited.join(parts, on).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts"))
+        dealt = visited.join(parts, on).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts").cast("int"))
         held = blocks.join(parts, on).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         on.append("part")
         return held.drop("parts").groupBy(*on).cogroup(dealt.drop("parts").groupBy(*on)).applyInPandas(search, "query_id long, vec_id long, score double")

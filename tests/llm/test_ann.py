@@ -59,3 +59,25 @@ def test_many_equal_vectors_are_salted(spark, monkeypatch):
     want = brute(ids, vectors, [i for i in ids if i % 20 == 0], 5)
     assert sum(len(set(got[q]) & {v for v, _ in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
     assert got[120] == [v for v, _ in want[120]]
+
+
+def test_blocks_meet_their_queries_in_many_partitions(spark, monkeypatch):
+    """Also where several tasks share a block's queries, and where partitions are not put together."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 60)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 7)
+    rng = np.random.default_rng(5)
+    ids, vectors = np.arange(500), rng.standard_normal((500, 16))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(x) for x in names]
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "13")
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 5 == 0, k=5).collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+    finally:
+        for x, v in zip(names, before):
+            spark.conf.set(x, v)
+    want = brute(ids, vectors, [i for i in ids if i % 5 == 0], 5)
+    assert sum(len(set(got.get(q, ())) & {v for v, _ in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
