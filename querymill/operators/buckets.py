@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions import geo, json_path
+from querymill.operators.groups import check_group_count
 from querymill.plans.filters import Lowering, literal
 from querymill.table import RequestError, Table
 
@@ -39,15 +40,15 @@ def micros(table: Table, name: str) -> Column:
     return F.unix_micros(col.cast("timestamp") if c.kind != "timestamp" else F.to_utc_timestamp(col.cast("timestamp"), F.current_timezone()))
 
 
-def aggregate(table: Table, request: dict[str, dict], filter_: dict | None = None) -> dict[str, DataFrame]:
-    """{path: frame} for all nodes, over the rows that match a filter."""
+def aggregate(table: Table, request: dict[str, dict], filter_: dict | None = None, max_buckets: int | None = None) -> dict[str, DataFrame]:
+    """{path: frame} for all nodes, over the rows that match a filter. More buckets of one node than max_buckets are an error."""
     if len(request) > MAX_NAMES:
         raise RequestError(f"at most {MAX_NAMES} aggregations")
     base = table.with_df(table.df.where(Lowering(table, scored=False).where(filter_)) if filter_ else table.df)
     out: dict[str, DataFrame] = {}
     for name, node in request.items():
         _lower(base, base.df, [], name, node, 1, out)
-    return out
+    return {path: check_group_count(df, max_buckets) for path, df in out.items()} if max_buckets is not None else out
 
 
 def _lower(table: Table, df: DataFrame, keys: list[str], path: str, node: dict, depth: int, out: dict[str, DataFrame]) -> None:
@@ -76,11 +77,18 @@ def _lower(table: Table, df: DataFrame, keys: list[str], path: str, node: dict,
     deeper = {n: c for n, c in children.items() if c["kind"] != "metric"}
     if deeper:
         mine = [c for c in own.columns if c.endswith("_key") and c not in keys]
-        kept = members if kind == "filter" else members.join(own.select(*keys, *mine), [*keys, *mine], "left_semi") if keys + mine else members
+        kept = members if kind == "filter" or not keys + mine else _join(members, own.select(*keys, *mine), [*keys, *mine], "left_semi")
         for n, c in deeper.items():
             _lower(table, kept, keys + mine, f"{path}.{n}", c, depth + 1, out)
 
 
+def _join(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join by keys where null equals null, for a bucket may be that of the missing values."""
+    named = other.select(*[F.col(k).alias(f"__qm_on_{n}") for n, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named[f"__qm_on_{n}"]) for n, k in enumerate(keys)])
+    return df.join(named, same, how).drop(*[f"__qm_on_{n}" for n in range(len(keys))])
+
+
 # metrics
 
 
@@ -99,13 +107,14 @@ def _target(table: Table, node: dict) -> Column:
 
 
 def _metrics(table: Table, node: dict) -> dict[str, Column]:
+    """cardinality and percentiles are sketched, or, with `exact`, counted and interpolated."""
     c, function = _target(table, node), node["function"]
-    simple = {"count": lambda: F.count(c), "sum": lambda: F.sum(c).cast("double"), "average": lambda: F.avg(c).cast("double"), "min": lambda: F.min(c).cast("double"), "max": lambda: F.max(c).cast("double"), "cardinality": lambda: F.approx_count_distinct(c)}
+    simple = {"count": lambda: F.count(c), "sum": lambda: F.sum(c).cast("double"), "average": lambda: F.avg(c).cast("double"), "min": lambda: F.min(c).cast("double"), "max": lambda: F.max(c).cast("double"), "cardinality": lambda: F.count_distinct(c) if node.get("exact") else F.approx_count_distinct(c)}
     if function in simple:
         return {"value": simple[function]()}
     if function == "percentiles":
         percents = node.get("percents") or PERCENTS
-        return {f"p{p:g}".replace(".", "_"): F.percentile_approx(c.cast("double"), p / 100, 10_000) for p in percents}
+        return {f"p{p:g}".replace(".", "_"): F.percentile(c.cast("double"), p / 100) if node.get("exact") else F.percentile_approx(c.cast("double"), p / 100, 10_000) for p in percents}
     basic = {"count": F.count(c), "sum": F.sum(c).cast("double"), "average": F.avg(c).cast("double"), "min": F.min(c).cast("double"), "max": F.max(c).cast("double")}
     if function == "stats":
         return basic
@@ -184,8 +193,9 @@ def _spaced(df: DataFrame, keys: list[str], name: str, value: Column, interval,
         if wide:
             to_step = lambda v: F.floor((F.lit(v) - F.lit(offset)) / F.lit(interval)).cast("long")
             ends = ends.withColumns({"a": F.least("a", to_step(wide[0])), "b": F.greatest("b", to_step(wide[1]))})
-        filled = ends.select(*keys, F.explode(F.sequence("a", "b")).alias(step))
-        own = filled.join(own, [*keys, step], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0).cast("long")))
+        guarded = F.when(F.col("b") - F.col("a") < MAX_SIZE, F.sequence("a", "b")).otherwise(F.raise_error(F.lit(f"{name} has more than {MAX_SIZE} buckets")))
+        filled = ends.select(*keys, F.explode(guarded).alias(step))
+        own = _join(filled, own, [*keys, step], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0).cast("long")))
     else:
         own = own.where(F.col("doc_count") >= least)
     rest = [c for c in own.columns if c not in (*keys, step)]
@@ -247,7 +257,7 @@ def ranges(table: Table, df: DataFrame, keys: list[str], name: str, node: dict,
     own = members.groupBy(*keys, key).agg(F.count(F.lit(1)).alias("doc_count"), *extra)
     every = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     grid = every.withColumn(key, F.explode(F.array(*[F.lit(label(r)) for r in node["ranges"]])))
-    own = grid.join(own, [*keys, key], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0).cast("long")))
+    own = _join(grid, own, [*keys, key], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0).cast("long")))
     return members, own
 
 
@@ -338,7 +348,10 @@ def top_hits(table: Table, df: DataFrame, keys: list[str], node: dict, depth: in
             raise RequestError("top_hits do not sort by distance")
         c = F.col(table.column(s["column"]).name)
         by.append(c.desc_nulls_last() if s.get("descending") else c.asc_nulls_last())
-    rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*by, F.col(table.key)))
+    by.append(F.col(table.key))
+    if not keys:  # one bucket: its first rows are found in all tasks, and only they are ranked in one
+        df = df.orderBy(*by).limit(node["size"])
+    rank = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*by))
     columns = [table.column(c).name for c in node.get("columns", [])] or list(table.columns)
     return df.withColumn("rank", rank).where(F.col("rank") <= node["size"]).select(*keys, "rank", *columns)
 

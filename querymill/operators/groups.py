@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from querymill.table import RequestError, Table
 
-MAX_GROUPS = 65_000
 FUNCTIONS = {"sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}
 
 
@@ -24,8 +23,11 @@ def aggregate(table: Table, function: str, column: str | None) -> Column:
     return FUNCTIONS[function](F.col(c.name)).cast("double")
 
 
-def tabular(table: Table, projection: list[dict], group_by: list[str], order_by: list[dict], limit: int, offset: int) -> DataFrame:
-    """Groups (null is one) with their aggregates. Without an order, the largest groups first, then by key."""
+def tabular(table: Table, projection: list[dict], group_by: list[str], order_by: list[dict], limit: int, offset: int, max_groups: int | None = None) -> DataFrame:
+    """Groups (null is one) with their aggregates. Without an order, the largest groups first, then by key.
+
+    More groups than max_groups are an error; without it there is no bound, for groups are shuffled, not held in one place.
+    """
     keys = [table.column(g) for g in group_by]
     if any(k.is_array or k.kind in ("geo_point", "json") for k in keys):
         raise RequestError("groups are by scalar columns")
@@ -43,6 +45,8 @@ def tabular(table: Table, projection: list[dict], group_by: list[str], order_by:
     if not keys and (offset or not limit):
         return table.df.agg(*[m.alias(a) for a, m in metrics.items()]).limit(0)
     grouped = table.df.groupBy(*[F.col(k.name) for k in keys]).agg(*[m.alias(a) for a, m in metrics.items()], F.count(F.lit(1)).alias("__qm_n"))
+    if max_groups is not None:
+        check_group_count(grouped, max_groups)
     shown = {new: old for old, new in names} | {old: old for old, _ in names}
     order = []
     for s in order_by:
@@ -56,7 +60,7 @@ def tabular(table: Table, projection: list[dict], group_by: list[str], order_by:
     return grouped.select(*[F.col(old).alias(new) for old, new in names])
 
 
-def check_group_count(df: DataFrame, most: int = MAX_GROUPS) -> DataFrame:
+def check_group_count(df: DataFrame, most: int) -> DataFrame:
     """The frame itself, after counting that it has no more rows than allowed (counting stops beyond that)."""
     if df.limit(most + 1).count() > most:
         raise RequestError(f"more than {most} groups")

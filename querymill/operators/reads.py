@@ -46,7 +46,7 @@ def _plan(table: Table, request: dict, extra: int = 0) -> tuple[DataFrame, list[
     table, filter_ = _join_large_in(table, request.get("filter"))
     if request.get("group_by") or any(p["kind"] == "aggregate" for p in projection):
         where = Lowering(table, scored=False).where(filter_)
-        return groups.tabular(table.with_df(table.df.where(where)), projection, request.get("group_by", []), request.get("order_by", []), limit, offset), []
+        return groups.tabular(table.with_df(table.df.where(where)), projection, request.get("group_by", []), request.get("order_by", []), limit, offset, request.get("max_groups")), []
     asked = any(p["kind"] == "score" for p in projection) or any(s["column"] == "_score" for s in request.get("order_by", [])) or request.get("min_score") is not None
     implied = scores(filter_) and not request.get("order_by")
     found = Lowering(table, scored=asked or implied).lower(filter_) if filter_ else Lowered(F.lit(True))
