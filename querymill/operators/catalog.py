@@ -1,8 +1,8 @@
 """Tables as immutable Parquet generations behind one manifest, and the mutations that publish new ones.
 
-A table is a folder: `gen=<n>/` Parquet folders, `staged/` deferred deltas and `manifest.json` with the definition and the
-published generation. Every mutation plans its key sets on the published generation, writes one new generation and then
-replaces the manifest, so that a failed write is never seen. Files are reached through Hadoop's file system, so any
+A table is a folder: `gen=<n>/` Parquet folders, `staged/` deferred deltas and numbered manifests with the definition and the
+published generation, of which the highest counts. Every mutation plans its key sets on the published generation, writes one
+new generation and then renames the next manifest into place, so that a failed write is never seen. Files are reached through Hadoop's file system, so any
 store that Spark writes to will do. There is one writer at a time.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import json
+import re
 import threading
 import uuid
 from collections import OrderedDict
@@ -49,30 +50,36 @@ class Store:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(path))) if self.exists(path) else []
 
     def write(self, path: str, text: str) -> None:
-        """Replace a file: written beside it, then renamed."""
-        new = f"{path}.{uuid.uuid4().hex}"
-        out = self.fs.create(self._path(new), True)
+        """A new file: written beside its place, then renamed into it whole."""
+        new = f"{path}.{uuid.uuid4().hex}.tmp"
+        out = self.fs.create(self._path(new), False)
         out.write(bytearray(text.encode()))
         out.close()
-        if self.exists(path):
-            self.fs.delete(self._path(path), False)
-        if not self.fs.rename(self._path(new), self._path(path)):
+        if self.exists(path) or not self.fs.rename(self._path(new), self._path(path)):
+            self.fs.delete(self._path(new), False)
             raise OSError(f"cannot publish {path}")
 
     def read(self, path: str) -> str:
-        # the newest whole copy counts, should a writer have died between delete and rename
-        if not self.exists(path):
-            folder, _, name = path.rpartition("/")
-            path = f"{folder}/{[n for n in self.names(folder) if n.startswith(name + '.')][-1]}"
         stream = self.fs.open(self._path(path))
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def copy(self, source: str, target: str) -> None:
-        util = self.spark._jvm.org.apache.hadoop.fs.FileUtil
-        util.copy(self.fs, self._path(source), self.fs, self._path(target), False, self.spark._jsc.hadoopConfiguration())
+    def manifests(self, folder: str) -> list[str]:
+        """The whole manifests of a table, the one that counts last."""
+        return [n for n in self.names(folder) if re.fullmatch(r"manifest-\d{12}\.json", n)]
+
+    def write_manifest(self, folder: str, text: str) -> None:
+        """Publish the next manifest; that before it stays, older ones go."""
+        held = self.manifests(folder)
+        number = int(held[-1][9:21]) + 1 if held else 0
+        self.write(f"{folder}/manifest-{number:012d}.json", text)
+        for name in held[:-1]:
+            self.delete(f"{folder}/{name}")
+
+    def read_manifest(self, folder: str) -> dict:
+        return json.loads(self.read(f"{folder}/{self.manifests(folder)[-1]}"))
 
 
 @dataclass(frozen=True)
@@ -110,18 +117,19 @@ class Catalog:
                 raise RequestError(f"the name {definition.name} or an alias is taken")
             empty = self.spark.createDataFrame([], definition.schema())
             validated(Table(definition.name, empty, {c.name: c for c in definition.columns}, definition.key))
-            self._publish(definition, empty, 0)
+            self.publish(definition, empty, 0)
             return self.table(definition.name)
 
     def _owned(self) -> dict[str, str]:
         out = {}
-        for name in self.store.names(self.store.root):
+        for name in self.tables():
             d = Definition.from_json(self._manifest(name)["definition"])
             out |= {n: d.name for n in (d.name, *d.aliases)}
         return out
 
     def tables(self) -> list[str]:
-        return self.store.names(self.store.root)
+        """The published tables; a folder without a manifest is of a writer that died before publishing."""
+        return [n for n in self.store.names(self.store.root) if self.store.manifests(self.store.at(n))]
 
     def drop(self, name: str) -> None:
         with self._lock:
@@ -141,7 +149,7 @@ class Catalog:
         return Definition.from_json(self._manifest(owned[name.lower()])["definition"])
 
     def _manifest(self, name: str) -> dict:
-        return json.loads(self.store.read(self.store.at(name, "manifest.json")))
+        return self.store.read_manifest(self.store.at(name))
 
     def generation(self, name: str) -> int:
         return self._manifest(self.definition(name).name)["generation"]
@@ -154,9 +162,10 @@ class Catalog:
         return Table(d.name, df, {c.name: c for c in d.columns}, d.key).prepared()
 
     def _write_manifest(self, d: Definition, generation: int) -> None:
-        self.store.write(self.store.at(d.name, "manifest.json"), json.dumps({"generation": generation, "definition": d.to_json()}))
+        self.store.write_manifest(self.store.at(d.name), json.dumps({"generation": generation, "definition": d.to_json()}))
 
-    def _publish(self, d: Definition, df: DataFrame, generation: int) -> None:
+    def publish(self, d: Definition, df: DataFrame, generation: int) -> None:
+        """Write rows as a new generation, and only then make it the one that is read."""
         path = self.store.at(d.name, f"gen={generation}")
         self.store.delete(path)  # left by a writer that died before publishing
         df.select(*[F.col(c.name).cast(c.data_type()).alias(c.name) for c in d.columns]).write.parquet(path)
@@ -256,7 +265,7 @@ class Catalog:
 
     def _next(self, table: Table, df: DataFrame) -> None:
         d = self.definition(table.name)
-        self._publish(d, df, self._manifest(d.name)["generation"] + 1)
+        self.publish(d, df, self._manifest(d.name)["generation"] + 1)
 
     def upsert(self, name: str, rows: list[dict] | DataFrame, deferred: bool = False) -> None:
         """Insert or replace by key; of rows with one key, the last counts. Deferred rows are seen after flush()."""
@@ -333,7 +342,7 @@ class Catalog:
                     raise RequestError(f"unknown change {kind}")
             new = replace(d, columns=columns)
             validated(Table(d.name, df, {c.name: c for c in columns}, d.key))
-            self._publish(new, df, self._manifest(d.name)["generation"] + 1)
+            self.publish(new, df, self._manifest(d.name)["generation"] + 1)
 
     def optimize(self, name: str, files: int = 8) -> None:
         """Rewrite the table in so many files, ordered by key within each."""
@@ -351,21 +360,32 @@ class Catalog:
                     self.store.delete(self.store.at(d.name, n))
 
 
-def typed_rows(raw: DataFrame, table: Table) -> DataFrame:
-    """Adds the table's columns to rows with `__qm_json`, from request form: dates as text, blobs as hex, addresses as text."""
+def typed_rows(raw: DataFrame, table: Table, skip: bool = False) -> DataFrame:
+    """Adds the table's columns to rows with `__qm_json`, from request form: dates as text, blobs as hex, addresses as text.
+
+    A value of another type fails the read, as one that is needed and missing does later; with `skip` their rows go.
+    """
     shape = []
     for c in table.columns.values():
         as_text = c.scalar in ("date", "date_time", "timestamp", "blob", "ip")
         base = T.StringType() if as_text else c.data_type() if not c.is_array else c.data_type().elementType
         shape.append(T.StructField(c.name, T.ArrayType(base) if c.is_array else base))
-    parsed = raw.withColumn("__qm_row", F.from_json("__qm_json", T.StructType(shape), {"mode": "FAILFAST"}))
+    if skip:
+        shape.append(T.StructField("__qm_bad", T.StringType()))
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__qm_bad"} if skip else {"mode": "FAILFAST"}
+    parsed = raw.withColumn("__qm_row", F.from_json("__qm_json", T.StructType(shape), mode))
 
     @F.pandas_udf(T.BinaryType())
     def address(batch: pd.Series) -> pd.Series:
         def one(v):
             if v is None:
                 return None
-            a = ipaddress.ip_address(v)
+            try:
+                a = ipaddress.ip_address(v)
+            except ValueError:
+                if skip:
+                    return None
+                raise
             return (ipaddress.IPv6Address(b"\0" * 10 + b"\xff\xff" + a.packed) if a.version == 4 else a).packed
 
         return batch.map(one)
@@ -375,7 +395,8 @@ def typed_rows(raw: DataFrame, table: Table) -> DataFrame:
             return F.unhex(F.regexp_replace(v, "^0x", ""))
         if c.scalar == "ip":
             return address(v)
-        return v.cast(c.data_type().elementType if c.is_array else c.data_type())
+        kind = c.data_type().elementType if c.is_array else c.data_type()
+        return v.try_cast(kind) if skip else v.cast(kind)
 
     def column(c: ColumnDef):
         v = F.col(f"__qm_row.`{c.name}`")
@@ -386,7 +407,16 @@ def typed_rows(raw: DataFrame, table: Table) -> DataFrame:
         return F.transform(v, lambda x: converted(c, x)) if c.scalar in ("date", "date_time", "timestamp", "blob") else v
 
     out = [column(c).alias(c.name) for c in table.columns.values()]
-    return parsed.select(*[k for k in raw.columns], *out).drop("__qm_json")
+    typed = parsed.select(*[k for k in raw.columns], "__qm_row", *out)
+    if skip:
+        good = F.col("__qm_row.__qm_bad").isNull()
+        for c in table.columns.values():
+            v, given = F.col(c.name), F.col(f"__qm_row.`{c.name}`")
+            good &= v.isNotNull() if not c.nullable or c.name == table.key else given.isNull() | v.isNotNull()
+            if c.is_array:
+                good &= F.coalesce(~F.exists(v, lambda x: x.isNull()), F.lit(True))
+        typed = typed.where(good)
+    return typed.drop("__qm_json", "__qm_row")
 
 
 def upserted(table: Table, new: DataFrame) -> DataFrame:

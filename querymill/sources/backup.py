@@ -7,12 +7,11 @@ import json
 from pyspark.sql import functions as F
 
 from querymill.operators.catalog import Catalog, Store, etag
-from querymill.table import RequestError
+from querymill.table import RequestError, Table
 
 
-def _digest(catalog: Catalog, name: str) -> dict:
-    """Rows and an order-free digest of a table's published rows."""
-    table = catalog.table(name)
+def _digest(table: Table) -> dict:
+    """Rows and an order-free digest of a table's rows."""
     row = table.df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(etag(table), 1, 15), 16, 10).cast("decimal(38,0)")).alias("sum")).first()
     return {"rows": row["n"], "digest": str(row["sum"])}
 
@@ -23,26 +22,24 @@ def backup(catalog: Catalog, path: str) -> dict:
     for name in catalog.tables():
         generation = catalog.generation(name)
         catalog.table(name).df.write.parquet(out.at(name, f"gen={generation}"))
-        out.write(out.at(name, "manifest.json"), json.dumps({"generation": generation, "definition": catalog.definition(name).to_json()}))
-        manifest[name] = _digest(catalog, name)
+        out.write_manifest(out.at(name), json.dumps({"generation": generation, "definition": catalog.definition(name).to_json()}))
+        manifest[name] = _digest(catalog.table(name))
     out.write(out.at("backup.json"), json.dumps(manifest))
     return manifest
 
 
 def restore(catalog: Catalog, path: str, force: bool = False) -> None:
-    """Copy a backup in, verify it, and publish it table by table; existing tables need force."""
-    source = Store(catalog.spark, path)
-    manifest = json.loads(source.read(source.at("backup.json")))
-    if catalog.tables() and not force:
+    """Verify all of a backup, then publish each table as a new generation; existing tables need force.
+
+    Executors copy the rows. A table that exists keeps its published generation until the copy is whole.
+    """
+    source = Catalog(catalog.spark, path)
+    manifest = json.loads(source.store.read(source.store.at("backup.json")))
+    held = catalog.tables()
+    if held and not force:
         raise RequestError("the catalog is not empty")
-    staging = Catalog(catalog.spark, catalog.store.root + ".restore")
-    staging.store.delete(staging.store.root)
     for name, expected in manifest.items():
-        source.copy(source.at(name), staging.store.at(name))
-        if _digest(staging, name) != expected:
-            staging.store.delete(staging.store.root)
+        if _digest(source.table(name)) != expected:
             raise RequestError(f"the backup of {name} is damaged")
     for name in manifest:
-        catalog.store.delete(catalog.store.at(name))
-        catalog.store.copy(staging.store.at(name), catalog.store.at(name))
-    staging.store.delete(staging.store.root)
+        catalog.publish(source.definition(name), source.table(name).df, catalog.generation(name) + 1 if name in held else 0)

@@ -10,9 +10,10 @@ from querymill.table import RequestError, Table
 
 
 def read_lines(spark: SparkSession, path: str, table: Table, on_error: str = "abort") -> DataFrame:
-    """Typed rows of the lines, in order (`__qm_at`). Lines that aren't objects, hold unknown columns or lack the key are errors.
+    """Typed rows of the lines, in order (`__qm_at`).
 
-    abort: an error fails the read. skip: such lines are left out.
+    Lines that aren't objects, hold unknown columns, lack the key or a needed value, or hold a value of another type are
+    errors. abort: an error fails the read. skip: such lines are left out.
     """
     if on_error not in ("abort", "skip"):
         raise RequestError("on_error is abort or skip")
@@ -23,16 +24,21 @@ def read_lines(spark: SparkSession, path: str, table: Table, on_error: str = "ab
     if on_error == "abort":
         checked = raw.withColumn("__qm_json", F.when(good, F.col("__qm_json")).otherwise(F.raise_error(F.concat(F.lit("bad line: "), F.substring("__qm_json", 1, 200)))))
     else:
-        checked = raw.where(good)
+        return typed_rows(raw.where(good), table, skip=True)
     return typed_rows(checked, table)
 
 
 def import_file(catalog: Catalog, name: str, path: str, on_error: str = "abort", deferred: bool = False) -> int:
-    """Upsert a file into a table, all or nothing; the lines' order decides between rows of one key. Returns the lines."""
+    """Upsert a file into a table, all or nothing; the lines' order decides between rows of one key. Returns the lines taken."""
+    return import_report(catalog, name, path, on_error, deferred)["accepted"]
+
+
+def import_report(catalog: Catalog, name: str, path: str, on_error: str = "abort", deferred: bool = False) -> dict[str, int]:
+    """The same, with the numbers of lines taken and left out."""
     rows = read_lines(catalog.spark, path, catalog.table(name), on_error)
-    n = rows.count()
+    lines, n = catalog.spark.read.text(path).where(F.trim("value") != "").count(), rows.count()
     catalog.upsert(name, rows, deferred)
-    return n
+    return {"accepted": n, "rejected": lines - n}
 
 
 def write_results(df: DataFrame, path: str) -> None:
