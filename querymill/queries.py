@@ -162,9 +162,14 @@ def _(s, d):
     return filtered(documents(s, d), {"kind": "search", "fields": ["text"], "query": '"Released under the MIT"'}, "doc_id")
 
 
-@query("f06_search_boosted_and", f"SELECT doc_id FROM {DOCS} WHERE {has('toks', 'thing')} AND {has('toks', 'the')}")
+@query("f06_search_boosted_and", f"SELECT doc_id, 2.0 AS boost FROM {DOCS} WHERE {has('toks', 'thing')} AND {has('toks', 'the')}")
 def _(s, d):
-    return filtered(documents(s, d), {"kind": "search_boosted", "fields": {"text": 2.0}, "query": "thing the", "conjunction_by_default": True}, "doc_id")
+    """Each match with its score over that of the same words without a boost."""
+    t = documents(s, d)
+    boosted = {"kind": "search_boosted", "fields": {"text": 2.0}, "query": "thing the", "conjunction_by_default": True}
+    plain = Lowering(t, scored=True).lower({**boosted, "fields": {"text": 1.0}})
+    found = Lowering(t, scored=True).lower(boosted)
+    return t.df.where(found.where).select("doc_id", F.round(found.score / plain.score, 9).alias("boost"))
 
 
 @query("f07_fuzzy", f"SELECT doc_id FROM {DOCS} WHERE len(list_filter(toks, lambda t: levenshtein(t, 'license') <= 1)) > 0")
@@ -537,12 +542,10 @@ def _(s, d):
 
 @query(
     "b03_histogram_gap_fill",
-    "SELECT k::DOUBLE AS b_key, count(v) AS doc_count FROM range(-20, 501, 10) r(k) LEFT JOIN (SELECT value AS v FROM events WHERE user_id % 50 = 1 AND value BETWEEN 0 AND 480) ON floor(v / 10) * 10 = k GROUP BY 1",
+    "SELECT k / 8.0 AS b_key, count(v) AS doc_count FROM range(-160, 4001) r(k) LEFT JOIN (SELECT value AS v FROM events WHERE value BETWEEN 0 AND 480) ON floor(v / 0.125) = k GROUP BY 1",
 )
 def _(s, d):
-    t = events(s, d)
-    t = t.with_df(t.df.where("user_id % 50 = 1"))
-    return bucket(t, {"kind": "histogram", "column": "value", "interval": 10, "hard_bounds": {"min": 0, "max": 480}, "extended_bounds": {"min": -20, "max": 500}})
+    return bucket(events(s, d), {"kind": "histogram", "column": "value", "interval": 0.125, "hard_bounds": {"min": 0, "max": 480}, "extended_bounds": {"min": -20, "max": 500}})
 
 
 @query("b04_json_histogram", "SELECT floor(CAST(props->>'$.k' AS BIGINT) / 15.0) * 15.0 AS b_key, count(*) AS doc_count FROM events GROUP BY 1")
@@ -599,6 +602,27 @@ def _(s, d):
     return bucket(events(s, d), {"kind": "composite", "size": 10_000, "sources": [{"kind": "json_terms", "name": "k", "target": {"column": "props", "path": "k", "data_type": "i64"}}, {"kind": "terms", "name": "type", "column": "event_type"}]})
 
 
+@query(
+    "b09e_missing_bucket_children",
+    f"""WITH c AS (SELECT priority, o_orderstatus, count(*) AS n, row_number() OVER (PARTITION BY priority ORDER BY count(*) DESC, o_orderstatus) AS r FROM {ORDERS} GROUP BY 1, 2)
+    SELECT priority AS pr_key, o_orderstatus AS kids_key, n AS doc_count FROM c WHERE r <= 2""",
+)
+def _(s, d):
+    sources = [{"kind": "terms", "name": "pr", "column": "priority", "missing_bucket": True}]
+    return bucket(orders(s, d), {"kind": "composite", "size": 100, "sources": sources, "aggregations": {"kids": {"kind": "terms", "column": "o_orderstatus", "size": 2}}}, "b.kids")
+
+
+@query(
+    "b09e_missing_bucket_histogram",
+    f"""WITH t AS (SELECT priority, (floor(o_totalprice / 50000) * 50000)::DOUBLE AS h, count(*) AS n FROM {ORDERS} GROUP BY 1, 2),
+    e AS (SELECT priority, unnest(range((min(h) / 50000)::BIGINT, (max(h) / 50000)::BIGINT + 1)) * 50000.0 AS h FROM t GROUP BY 1)
+    SELECT e.priority AS pr_key, e.h::DOUBLE AS kids_key, coalesce(n, 0)::BIGINT AS doc_count FROM e LEFT JOIN t ON e.priority IS NOT DISTINCT FROM t.priority AND e.h = t.h""",
+)
+def _(s, d):
+    sources = [{"kind": "terms", "name": "pr", "column": "priority", "missing_bucket": True}]
+    return bucket(orders(s, d), {"kind": "composite", "size": 100, "sources": sources, "aggregations": {"kids": {"kind": "histogram", "column": "o_totalprice", "interval": 50000}}}, "b.kids")
+
+
 @query("b10_metric_json_missing", "SELECT round(avg(coalesce(CAST(props->>'$.k' AS BIGINT), 0)), 6) AS value FROM events")
 def _(s, d):
     return bucket(events(s, d), metric("average", None, json_path={"column": "props", "path": "k", "data_type": "i64"}, missing=0)).select(F.round("value", 6).alias("value"))
@@ -611,7 +635,7 @@ def _(s, d):
 
 @query("b10f_cardinality_exact", "SELECT count(DISTINCT o_custkey) AS value FROM orders")
 def _(s, d):
-    return orders(s, d).df.agg(F.count_distinct("o_custkey").alias("value"))
+    return bucket(orders(s, d), metric("cardinality", "o_custkey", exact=True))
 
 
 @query("b10g_percentiles")
@@ -621,7 +645,8 @@ def _(s, d):
 
 @query("b10g_percentiles_exact", "SELECT round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem")
 def _(s, d):
-    return lineitem(s, d).df.agg(*[F.round(F.percentile("l_extendedprice", p / 100), 4).alias(f"p{p}") for p in (50, 95)])
+    found = bucket(lineitem(s, d), metric("percentiles", "l_extendedprice", exact=True, percents=[50, 95]))
+    return found.select(F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 @query("b10h_stats", 'SELECT count(l_tax) AS "count", round(sum(l_tax), 4) AS "sum", round(avg(l_tax), 6) AS average, min(l_tax) AS "min", max(l_tax) AS "max" FROM lineitem')
@@ -806,6 +831,19 @@ def _(s, d):
     return c.table("orders").df.select(*_STATE)
 
 
+@query("s04_import_skip", f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 2 THEN 1 ELSE o_custkey END AS o_custkey, o_totalprice, priority, (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0) AS rejected FROM {ORDERS}")
+def _(s, d):
+    """Lines with a value of another type are counted and left out; the others are upserted."""
+    from querymill.sources import ndjson
+
+    c = _catalog(s, d)
+    path = c.store.at("orders", "incoming")
+    lines = c.table("orders").df.where("o_orderkey % 2 = 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 4 == 0, "bad").otherwise("1")).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    lines.select(F.replace(F.to_json(F.struct("*")), F.lit('"o_custkey":"1"'), F.lit('"o_custkey":1')).alias("value")).write.text(path)
+    report = ndjson.import_report(c, "orders", path, on_error="skip")
+    return c.table("orders").df.select(*_STATE, F.lit(report["rejected"]).cast("long").alias("rejected"))
+
+
 @query("s08_backup_restore", f"SELECT o_orderkey, o_custkey, o_totalprice, priority FROM {ORDERS}")
 def _(s, d):
     from querymill.sources import backup
