@@ -1,8 +1,9 @@
 """Chat formatting, with DataFrame functions alone.
 
-A table's layout is known by a fingerprint: the hash of its nested field paths (arrays as []), as far as some layout
-uses them. The fingerprint selects a declarative mapping (SQL expressions) to canonical turns, an array of
-(role, text). JSON texts of mixed layouts are told apart row by row: their variant schema gives the same paths.
+A table's layout is known by fingerprints: hashes of its nested field paths (arrays as []), as far as a layout uses them.
+The largest layout whose fingerprint they have selects a declarative mapping (a SQL expression) to canonical turns, an
+array of (role, text). JSON texts of mixed layouts are told apart row by row in the same way; fields that no layout uses
+do not matter, and an empty array of messages is a conversation without turns.
 
 The template is `### <role>: <text></turn>` and a newline for each turn. Inside roles and texts the control
 characters are escaped, so that no marker can be forged and every text is read back exactly. The loss mask is
@@ -20,9 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: layout -> (field paths, how to get array<struct<role,text>> from a row; None where turns are rows of their own)
-LAYOUTS: dict[str, tuple[tuple[str, ...], str | None]] = {
-    "turn_rows": (("conv_id", "role", "text", "turn"), None),
+#: layout -> (field paths, how to get array<struct<role,text>> from a row, or, in BY_ROWS, from the rows of a conversation)
+LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
+    "turn_rows": (
+        ("conv_id", "role", "text", "turn"),
+        "transform(sort_array(collect_list(named_struct('turn', turn, 'role', coalesce(role, ''), 'text', coalesce(text, '')))), m -> named_struct('role', m.role, 'text', m.text))",
+    ),
     "messages": (("messages[].content", "messages[].role"), "transform(messages, m -> named_struct('role', m.role, 'text', m.content))"),
     "from_value": (
         ("conversations[].from", "conversations[].value"),
@@ -37,7 +41,7 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], str | None]] = {
     ),
     "question_answer": (("answer", "question"), "array(named_struct('role', 'user', 'text', question), named_struct('role', 'assistant', 'text', answer))"),
 }
-KNOWN_PATHS = {p for paths, _ in LAYOUTS.values() for p in paths}
+BY_ROWS = {"turn_rows"}
 
 
 def fingerprint(paths) -> str:
@@ -45,7 +49,8 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
-BY_FINGERPRINT = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
+#: The layouts by fingerprint, those of more fields first.
+BY_FINGERPRINT = {fingerprint(LAYOUTS[n][0]): n for n in sorted(LAYOUTS, key=lambda n: (-len(LAYOUTS[n][0]), n))}
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -58,75 +63,64 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def layout_of(paths) -> str:
-    """The layout whose fingerprint the known paths have; with further known paths beside it, the one that explains most."""
-    known = set(paths) & KNOWN_PATHS
-    found = BY_FINGERPRINT.get(fingerprint(known))
-    if found is None:
-        fits = [(len(p), name) for name, (p, _) in LAYOUTS.items() if set(p) <= known]
-        if not fits:
-            raise ValueError(f"no chat layout has the fields {sorted(paths)}")
-        found = max(fits, key=lambda x: (x[0], x[1] == "turn_rows", x[1]))[1]
-    return found
+    """The layout of most fields whose fingerprint the paths have."""
+    for mark, name in BY_FINGERPRINT.items():
+        if fingerprint(set(paths) & set(LAYOUTS[name][0])) == mark:
+            return name
+    raise ValueError(f"no chat layout has the fields {sorted(paths)}")
 
 
 def turns_of(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """Rows (key, turns array<struct<role,text>>) from a table in any of the layouts."""
     layout = layout_of(field_paths(df.schema))
-    if layout == "turn_rows":
-        cell = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        grouped = df.groupBy(F.col("conv_id").alias(key)).agg(F.sort_array(F.collect_list(cell)).alias("_rows"))
-        return grouped.select(key, F.transform("_rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
-    return df.select(F.col(key), _filled(F.expr(LAYOUTS[layout][1])).alias("turns"))
+    turns = F.expr(LAYOUTS[layout][1])
+    if layout in BY_ROWS:
+        return df.groupBy(F.col("conv_id").alias(key)).agg(turns.alias("turns"))
+    return df.select(F.col(key), _filled(turns).alias("turns"))
 
 
 def _filled(turns: Column) -> Column:
     return F.transform(turns, lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), F.coalesce(x["text"], F.lit("")).alias("text")))
 
 
-def json_fingerprint(json: Column) -> Column:
-    """Fingerprint of each row's own nested fields: its variant schema without the leaf types, hashed."""
-    shape = F.schema_of_variant(F.try_parse_json(json))
-    for kind in ("STRING", "BIGINT", "DOUBLE", "BOOLEAN", "VOID", r"DECIMAL\(\d+,\s*\d+\)"):
-        shape = F.regexp_replace(shape, rf": {kind}\b|: {kind}(?=[,>])", "")
-    return F.sha2(shape, 256)
-
-
-def _json_shape(paths: tuple[str, ...]) -> str:
-    top: dict[str, list[str]] = {}
-    for p in sorted(paths):
-        head, _, leaf = p.partition("[].")
-        top.setdefault(head, []).extend([leaf] if leaf else [])
-    return "OBJECT<" + ", ".join(k + (f": ARRAY<OBJECT<{', '.join(v)}>>" if v else "") for k, v in top.items()) + ">"
+def _fields(names) -> dict[str, list[str]]:
+    """Top-level fields of the layouts, with the leaves of those that are arrays."""
+    out: dict[str, list[str]] = {}
+    for path in sorted({p for n in names for p in LAYOUTS[n][0]}):
+        head, _, leaf = path.partition("[].")
+        out.setdefault(head, []).extend([leaf] if leaf else [])
+    return out
 
 
 def turns_of_json(df: DataFrame, json: str, key: str = "conv_id") -> DataFrame:
-    """As turns_of for a column of JSON texts, each row by its own fingerprint; unknown layouts give null turns."""
-    schema = "array<struct<role:string,text:string>>"
-    out = F.lit(None).cast(schema)
-    mark = json_fingerprint(F.col(json))
-    for name, (paths, how) in LAYOUTS.items():
-        if how is None:
-            continue
-        fields: dict[str, list[str]] = {}
-        for p in paths:
-            head, _, leaf = p.partition("[].")
-            fields.setdefault(head, []).extend([leaf] if leaf else [])
-        ddl = ", ".join(f"`{k}` " + (f"array<struct<{', '.join(f'`{x}`:string' for x in v)}>>" if v else "string") for k, v in fields.items())
-        df = df.withColumn(f"_as_{name}", F.from_json(F.col(json), ddl))
-        inner = how
-        for k in fields:
-            inner = inner.replace(f"({k},", f"(_as_{name}.{k},") if fields[k] else inner
-        if not any(fields.values()):
-            for k in sorted(fields, key=len, reverse=True):
-                inner = _qualified(inner, k, f"_as_{name}.{k}")
-        out = F.when(mark == F.sha2(F.lit(_json_shape(paths)), 256), _filled(F.expr(inner))).otherwise(out)
-    return df.select(F.col(key), mark.alias("fingerprint"), out.alias("turns"))
-
-
-def _qualified(sql: str, name: str, full: str) -> str:
-    import re
-
-    return re.sub(rf"(?<![\w'.]){name}(?![\w'])", full, sql)
+    """As turns_of for a column of JSON texts, each row by its own fingerprint; unknown layouts, and those of single turns, give null turns."""
+    names = [n for n in BY_FINGERPRINT.values() if n not in BY_ROWS]
+    fields = _fields(names)
+    ddl = ", ".join(f"`{k}` " + (f"array<struct<{', '.join(f'`{x}`:string' for x in v)}>>" if v else "string") for k, v in fields.items())
+    keys = F.coalesce(F.json_object_keys("_json"), F.array().cast("array<string>"))
+
+    def has(path: str) -> Column:
+        head, _, leaf = path.partition("[].")
+        if not leaf:
+            return F.array_contains(keys, head)
+        items = F.from_json(F.get_json_object("_json", f"$.{head}"), "array<string>")
+        return F.coalesce((F.size(items) == 0) | F.exists(items, lambda x: F.coalesce(F.array_contains(F.json_object_keys(x), leaf), F.lit(False))), F.lit(False))
+
+    rows = df.select(F.col(key).alias("_key"), F.col(json).alias("_json"))
+    held = {p: has(p) for p in sorted({p for n in names for p in LAYOUTS[n][0]})}
+    rows = rows.select("_key", F.from_json("_json", ddl).alias("_all"), *[c.alias(f"_has_{k}") for k, c in enumerate(held.values())])
+    at = {p: f"_has_{k}" for k, p in enumerate(held)}
+
+    def marks(paths) -> Column:
+        """The fingerprint of those of the paths that the row has."""
+        present = F.filter(F.array(*[F.when(F.col(at[p]), F.lit(p)) for p in sorted(paths)]), lambda x: x.isNotNull())
+        return F.substring(F.sha2(F.array_join(present, "\n"), 256), 1, 16)
+
+    turns, mark = F.lit(None).cast("array<struct<role:string,text:string>>"), marks(held)
+    for n in reversed(names):
+        paths, how = LAYOUTS[n]
+        turns = F.when(marks(paths) == fingerprint(paths), _filled(F.expr(how))).otherwise(turns)
+    return rows.select("_key", mark.alias("fingerprint"), *[F.col(c) for c in at.values()], "_all.*").select(F.col("_key").alias(key), "fingerprint", turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:

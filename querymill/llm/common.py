@@ -95,17 +95,19 @@ def let(value: Column, body) -> Column:
 def join_small(df: DataFrame, small: DataFrame, key: str, how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join `small` (one row per value of `key`, null included) to `df` on a null-safe key.
 
+    Columns of `small` replace those of `df` that have their names.
+
     Broadcast if `small` is counted to have at most `max_rows` rows; otherwise `small` is repeated over SALTS
     salts and shuffled, so that a value that holds a third of `df` is spread over SALTS tasks.
     """
-    kept = df.columns
-    small = small.withColumnRenamed(key, "_key")
-    added = [c for c in small.columns if c != "_key"]
+    added = [c for c in small.columns if c != key]
+    small = small.select(F.col(key).alias("__small_key"), *[F.col(f"`{c}`").alias(f"__small_{k}") for k, c in enumerate(added)])
     if small.limit(max_rows + 1).count() <= max_rows:
-        joined = df.join(F.broadcast(small), df[key].eqNullSafe(small["_key"]), how)
+        joined = df.join(F.broadcast(small), df[key].eqNullSafe(small["__small_key"]), how)
     else:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(SALTS)).cast("int")
-        left = df.withColumn("_salt", salt)
-        right = small.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = left.join(right, left[key].eqNullSafe(right["_key"]) & (left["_salt"] == right["_salt2"]), how)
-    return joined.select(*[df[c] if c in kept else F.col(c) for c in kept], *added)
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]), F.lit(SALTS)).cast("int")
+        left = df.withColumn("__salt", salt)
+        right = small.withColumn("__small_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = left.join(right, left[key].eqNullSafe(right["__small_key"]) & (left["__salt"] == right["__small_salt"]), how)
+    kept = [df[f"`{c}`"] for c in df.columns if c not in added]
+    return joined.select(*kept, *[F.col(f"__small_{k}").alias(c) for k, c in enumerate(added)])

@@ -323,7 +323,8 @@ def fit(words: DataFrame, langs: list[str], vocabulary: Vocabulary, rounds: int)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in `keep`, lang_pred and score of every row with a `text` column."""
+    """The columns in `keep`, lang_pred and score (in place of columns so called) of every row with a `text` column."""
+    keep = [k for k in dict.fromkeys(keep) if k not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 

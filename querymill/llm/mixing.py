@@ -62,8 +62,8 @@ def cycled_weights(sources: DataFrame, cycle: tuple[int, ...]) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, cycle: tuple[int, ...] = (5, 2, 1), seed: int = SEED, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The documents with size, source_size, target, rate and copies (how often the mix takes each)."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
+    """The documents with size, source_size, target, rate and copies (how often the mix takes each), in place of columns so called."""
+    sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", word_count(F.col("text")))
     sources = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     targets = materialize(source_targets(cycled_weights(sources, cycle), max_repeat).select("source", "source_size", "target"))
     rated = join_small(sized, targets, "source").withColumn(

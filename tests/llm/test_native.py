@@ -56,6 +56,23 @@ def test_mix_copies_and_nulls(spark):
     assert mixing.plan_mix(df.limit(0)).count() == 0
 
 
+def test_columns_of_the_names_that_are_added_are_replaced(spark):
+    rows = [(k, "w " * (k % 5 + 1), "ab"[k % 2]) for k in range(40)]
+    clashing = "source_size string, target string, size string, rate string, copies string, weight string, _key string, _salt string"
+    df = spark.createDataFrame([(*r, *["x"] * 8) for r in rows], f"doc_id long, text string, source string, {clashing}")
+    names = ["doc_id", "size", "source_size", "target", "rate", "copies"]
+    plain = mixing.plan_mix(df.select("doc_id", "text", "source")).select(*names).collect()
+    got = mixing.plan_mix(df)
+    assert sorted(got.select(*names).collect()) == sorted(plain) and got.where("weight = 'x' AND _key = 'x' AND _salt = 'x'").count() == 40
+    small = spark.createDataFrame([("a", "y", 1), ("b", "z", 2)], "source string, target string, n int")
+    for most in (10, 1):
+        joined = common.join_small(df, small, "source", max_rows=most)
+        assert len(joined.columns) == len(set(joined.columns)) == 12 and joined.where("target = IF(source = 'a', 'y', 'z')").count() == 40
+    named = spark.createDataFrame([(1, "the text", "en", "x", "y")], "doc_id long, text string, lang string, lang_pred string, score string")
+    found = langid.identify(named, ["doc_id", "lang_pred", "score"])
+    assert found.columns == ["doc_id", "lang_pred", "score"] and dict(found.dtypes)["score"] == "double"
+
+
 def test_large_dimension_is_joined_with_salts(spark):
     df = spark.createDataFrame([(k, "h" if k % 3 else None) for k in range(100)], "doc_id long, source string")
     small = spark.createDataFrame([("h", 1), (None, 2), ("other", 3)], "source string, target int")
@@ -127,6 +144,29 @@ def test_json_rows_of_mixed_layouts(spark):
     assert got == {k: [("user", "q"), ("assistant", "a")] for k in range(len(rows))} | {90: None, 91: None, 92: None}
 
 
+def test_json_rows_with_other_fields_and_without_messages(spark):
+    two = [{"role": "user", "content": "q", "id": 7}, {"content": "a", "role": "assistant", "tools": [{"role": "x"}]}]
+    rows = [
+        ({"messages": two, "id": 1, "meta": {"prompt": "no"}}, [("user", "q"), ("assistant", "a")]),
+        ({"messages": []}, []), ({"conversations": [], "n": None}, []),
+        ({"prompt": "q", "response": "a", "score": 0.5}, [("user", "q"), ("assistant", "a")]),
+        ({"prompt": None, "response": "a"}, [("user", ""), ("assistant", "a")]),
+        ({"messages": [{"role": None, "content": "x"}]}, [("", "x")]),
+        ({"instruction": "i", "input": "more", "output": "o", "prompt": "p"}, [("user", "i\n\nmore"), ("assistant", "o")]),
+        ({"messages": "text"}, None), ({"messages": [1, "x"]}, None), ({"conv_id": 1, "turn": 0, "role": "user", "text": "t"}, None), ([1], None),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r), 1) for k, (r, _) in enumerate(rows)], "prompt long, body string, _key int")
+    got = {r.prompt: r.turns if r.turns is None else [(x.role, x.text) for x in r.turns] for r in chat.turns_of_json(df, "body", "prompt").collect()}
+    assert got == {k: want for k, (_, want) in enumerate(rows)}
+
+
+def test_a_very_long_conversation(spark):
+    df = spark.range(20_000).selectExpr("CAST(1 AS BIGINT) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "concat('#', repeat('x', 50), id) AS text").repartition(7)
+    (row,) = formatted(df)[1].collect()
+    assert [(x.role, x.text) for x in row.turns] == [(["user", "assistant"][k % 2], f"#{'x' * 50}{k}") for k in range(20_000)]
+    assert row.loss_text == "".join(f"#{'x' * 50}{k}" for k in range(1, 20_000, 2))
+
+
 # host rules
 
 
