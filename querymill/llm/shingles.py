@@ -1,9 +1,10 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
 A text's set of word shingles (64-bit hashes) has a key, the hash of the sorted set; texts with equal sets are one node.
-Candidates come from 40 bands of five minimum hashes: sets at a similarity of 0.8 share no band with a chance of 1.3e-7, and
-closer ones with less. What shares a band is linked to the band's least key, which gives loose components without listing
-pairs. Each loose component's sets then go to one task, or, where they hold over BLOCK shingles, block by block to a task
+Candidates come from operator 5, whose grid join links fingerprints of the same shingles that differ in three bits, and,
+because most sets at a similarity of 0.8 differ in more (ten of 64 on average), from 40 bands of five minimum hashes: sets at
+0.8 share no band with a chance of 1.3e-7, and closer ones with less. What shares a band is linked to the band's least key,
+and what shares a fingerprint to the fingerprint's, which gives loose components without listing pairs. Each loose component's sets then go to one task, or, where they hold over BLOCK shingles, block by block to a task
 for each pair of blocks; there exact similarities are counted, and clusters grown so that every member is reached once.
 Only links of at least the asked similarity are returned.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from querymill.llm.bpe import chunks
 from querymill.llm.common import give_back, materialize
 from querymill.llm.graph import components
-from querymill.llm.simhash import LOWER, SEED
+from querymill.llm.simhash import LOWER, SEED, fingerprint, grid_links
 
 WORDS = 5
 #: Least similarity, as a fraction.
@@ -71,19 +72,26 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def keys(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, h (hash of the text), key and size of the shingle set, and its bands."""
+    """doc_id, h (hash of the text), key and size of the shingle set, its bands, and the text's fingerprint."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(xxh64_intdigest(s.tobytes(), SEED), len(s), bands(s).view(np.int64)) for part in chunks(batch.column("text")) for s in (shingle_set(t, words) for t in part)]
-            offsets = np.concatenate([[0], np.cumsum([len(b) for _, _, b in sets])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *[b for _, _, b in sets]])
-            key = np.array([k for k, _, _ in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(key), pa.array([n for _, n, _ in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "h", "key", "size", "bands"])
+            prints, found = [], []
+            for t in (t for part in chunks(batch.column("text")) for t in part):
+                s = shingle_set(t, words)
+                found.append((xxh64_intdigest(s.tobytes(), SEED), len(s), bands(s).view(np.int64)))
+                prints.append(fingerprint(t, words))
+            offsets = np.concatenate([[0], np.cumsum([len(b) for _, _, b in found])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int64), *[b for _, _, b in found]])
+            key, fp = (np.array(x, np.uint64).view(np.int64) for x in ([k for k, _, _ in found], prints))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("h"), pa.array(key), pa.array([n for _, n, _ in found], pa.int64()), pa.array(fp), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["doc_id", "h", "key", "size", "fp", "bands"],
+            )
         give_back()
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, key long, size long, bands array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, key long, size long, fp long, bands array<long>")
 
 
 def similar_pairs(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
@@ -112,12 +120,20 @@ def similar_pairs(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> lis
     return links
 
 
+def simhash_links(found: DataFrame) -> DataFrame:
+    """Links a, b between keys that connect all with fingerprints within three bits of each other."""
+    prints = materialize(found.select("fp", "key").distinct())
+    reps = materialize(prints.groupBy("fp").agg(F.min("key").alias("rep")))
+    same = prints.join(reps, "fp").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    return same.union(grid_links(reps))
+
+
 def loose_components(found: DataFrame) -> DataFrame:
-    """node, component of all keys that share a band with another, over bands."""
+    """node, component of all keys that share a band with another, or lie near it by fingerprint, over both."""
     banded = materialize(found.select("key", F.explode("bands").alias("band")).distinct())
     shared = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
     links = banded.join(shared.select("band", "low"), "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
-    rest = materialize(components(links))
+    rest = materialize(components(links.union(simhash_links(found))))
     return rest.union(rest.select("component", "component").distinct())
 
 

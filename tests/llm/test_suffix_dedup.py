@@ -11,19 +11,30 @@ from querymill.llm import queries, suffix_dedup
 SF = "/root/testdata/sf0.01"
 
 
-def brute(rows):
-    """rows: (id, text). Per row: bytes, removed, runs and kept digest."""
-    least, out = {}, []
+def brute_gone(rows):
+    """rows: (id, text). For each, its bytes and whether each goes."""
+    least = {}
     bodies = [(2**63 - 1 if d is None else d, (t or "").encode()) for d, t in rows]
     for d, b in bodies:
         for i in range(len(b) - 49):
             w = b[i : i + 50]
             least[w] = min(least.get(w, d), d)
-    for (d, b), (name, _) in zip(bodies, rows):
-        gone = np.zeros(len(b) + 1, bool)
+    for d, b in bodies:
+        gone = np.zeros(len(b), bool)
         for i in range(len(b) - 49):
             if least[b[i : i + 50]] < d:
                 gone[i : i + 50] = True
+        yield b, gone
+
+
+def brute_kept(rows):
+    return [bytes(c for c, g in zip(b, gone) if not g) for b, gone in brute_gone(rows)]
+
+
+def brute(rows):
+    """rows: (id, text). Per row: bytes, removed, runs and kept digest."""
+    out = []
+    for (name, _), (b, gone) in zip(rows, brute_gone(rows)):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         out.append((name, len(b), len(b) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
