@@ -41,7 +41,7 @@ SPACE, LETTER, MARK, OTHER = range(4)
 LATIN_BYTES = 24
 NO_RANK = np.int32(2**31 - 1)
 #: Text that is split into words at a time.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -52,6 +52,12 @@ def give_back() -> None:
         pass
 
 
+def tidied(result):
+    """A task's result, after the memory that it took to make has been given back."""
+    give_back()
+    return result
+
+
 class HashTable:
     """Places of distinct 64-bit keys: an open table, searched for many keys at a time."""
 

@@ -361,7 +361,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 found = list(score(part))
                 columns = [rows.column(k) for k in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*keep, "lang_pred", "score"])
-        place, table = {}, table[:0]
+        place, table = {}, np.zeros((0, 0))
         give_back()
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keep], "lang_pred string", "score double"])

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from querymill.llm.common import give_back, join_small, materialize
+from querymill.llm.common import join_small, materialize, tidied
 
 MATCH, ANCHOR = 50, 20
 SPAN = MATCH - ANCHOR + 1
@@ -421,7 +421,6 @@ def _shared_windows(docs: DataFrame, key: str, text: str, columns: list[str], to
         for b, part in x.buckets:
             raw, sizes = row_bytes(x.rows[part])
             out.append((b, chunk, raw.tobytes(), sizes.tobytes(), x.ids[part].tobytes(), _six(x.keys[part])))
-        give_back()
         return _made(out, **kinds)
 
     def merge(table: pa.Table) -> pa.Table:
@@ -441,7 +440,6 @@ def _shared_windows(docs: DataFrame, key: str, text: str, columns: list[str], to
             mine = number[a:b]
             take = np.repeat(begins[mine], counts[mine]) + _within(counts[mine])
             out.append((chunk, bucket, counts[mine].astype(np.uint8).tobytes(), until[take].astype(np.uint8).tobytes(), low[take].tobytes()))
-        give_back()
         return _made(out, **answer)
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -472,8 +470,10 @@ def _shared_windows(docs: DataFrame, key: str, text: str, columns: list[str], to
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        step = np.bincount(at + since[run], minlength=len(body) + 1) - np.bincount(at + until[run] + MATCH - 1, minlength=len(body) + 1)
-        out = np.cumsum(step)[:-1] > 0
+        step = np.zeros(len(body) + 1, np.int32)
+        np.add.at(step, at + since[run], 1)
+        np.subtract.at(step, at + until[run] + MATCH - 1, 1)
+        out = np.cumsum(step, out=step)[:-1] > 0
         edge = np.zeros(len(body) + 1, bool)
         edge[ends] = edge[0] = True  # runs end where their text does
         edge[1:-1] |= out[1:] != out[:-1]
@@ -481,18 +481,17 @@ def _shared_windows(docs: DataFrame, key: str, text: str, columns: list[str], to
         a, b = at[:-1], at[1:]
         a, b = a[out[a]], b[out[a]]
         doc = np.searchsorted(ends, a, side="right")
-        kept = np.concatenate([[0], np.cumsum(~out)])[np.concatenate([[0], ends])].astype(np.int32)
+        kept = np.concatenate([np.zeros(1, np.int32), np.cumsum(~out, dtype=np.int32)])[np.concatenate([[0], ends])]
         shape = [table.column(place[c]).combine_chunks() for c in columns]
         kept_bytes = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(kept.tobytes()), pa.py_buffer(body[~out].tobytes())])
         spans = _spans(np.bincount(doc, minlength=len(texts)), a - starts[doc], b - starts[doc])
-        give_back()
         return pa.Table.from_arrays([*shape, kept_bytes, spans], names=[*columns, "kept", "removed"])
 
-    hashed = dealt.groupBy("_chunk").applyInArrow(anchors, "_bucket long, _chunk long, h binary, n binary")
+    hashed = dealt.groupBy("_chunk").applyInArrow(lambda table: tidied(anchors(table)), "_bucket long, _chunk long, h binary, n binary")
     marked = hashed.groupBy("_bucket").applyInArrow(shared, answer_ddl)
-    cut = dealt.groupBy("_chunk").cogroup(marked.groupBy("_chunk")).applyInArrow(segments, "_bucket long, _chunk long, body binary, sizes binary, ids binary, keys binary")
-    merged = cut.groupBy("_bucket").applyInArrow(merge, answer_ddl)
-    return dealt.groupBy("_chunk").cogroup(marked.unionByName(merged).groupBy("_chunk")).applyInArrow(remove, f"{own}, kept binary, removed {SPANS}")
+    cut = dealt.groupBy("_chunk").cogroup(marked.groupBy("_chunk")).applyInArrow(lambda table, marks: tidied(segments(table, marks)), "_bucket long, _chunk long, body binary, sizes binary, ids binary, keys binary")
+    merged = cut.groupBy("_bucket").applyInArrow(lambda table: tidied(merge(table)), answer_ddl)
+    return dealt.groupBy("_chunk").cogroup(marked.unionByName(merged).groupBy("_chunk")).applyInArrow(lambda table, answers: tidied(remove(table, answers)), f"{own}, kept binary, removed {SPANS}")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
