@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from querymill.functions import geo, json_path
 from querymill.functions.highlight import highlighted
 from querymill.operators import groups
-from querymill.plans.filters import LARGE_IN, Lowered, Lowering, holds, literal, scores
+from querymill.plans.filters import LARGE_IN, Lowered, Lowering, holds, literal, scores, searched
 from querymill.table import RequestError, Table
 
 DEFAULT_LIMIT = 100
@@ -49,6 +49,7 @@ def _plan(table: Table, request: dict, extra: int = 0) -> tuple[DataFrame, list[
         return groups.tabular(table.with_df(table.df.where(where)), projection, request.get("group_by", []), request.get("order_by", []), limit, offset, request.get("max_groups")), []
     asked = any(p["kind"] == "score" for p in projection) or any(s["column"] == "_score" for s in request.get("order_by", [])) or request.get("min_score") is not None
     implied = scores(filter_) and not request.get("order_by")
+    table = table.tokenised(*searched(table, filter_))
     found = Lowering(table, scored=asked or implied).lower(filter_) if filter_ else Lowered(F.lit(True))
     df = table.df.where(found.where) if filter_ else table.df
     if asked or implied:
@@ -175,8 +176,15 @@ def read_page(table: Table, request: dict) -> Page:
     return Page(plain, [str(v) if hasattr(v, "isoformat") else v for v in cursor] if cursor else None)
 
 
+def matching(table: Table, filter_: dict | None) -> DataFrame:
+    """All columns of all rows that match a filter."""
+    own = table.df.columns
+    table = table.tokenised(*searched(table, filter_))
+    return table.df.where(Lowering(table, scored=False).where(filter_)).select(*[F.col(f"`{c}`") for c in own])
+
+
 def count(table: Table, filter_: dict | None = None) -> int:
-    return table.df.where(Lowering(table, scored=False).where(filter_)).count()
+    return matching(table, filter_).count()
 
 
 def list_rows(table: Table, q: str | None = None, sort: str | None = None, descending: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -25,35 +26,38 @@ def more_like_this(
     if not 1 <= limit <= 1000:
         raise RequestError("the limit is 1 to 1000")
     names = [table.indexed(f).name for f in fields] if fields else table.text_columns()
-    seed = table.df.where(F.col(table.key) == F.lit(key_value))
+    whole, table = table, table.tokenised(*names)
+    seed = whole.df.where(F.col(table.key) == F.lit(key_value))
     parts, where, lowering = [], [], Lowering(table, scored=False)
     for name in names:
-        tokens = table.tokens(name)
-        own = seed.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf")).where(F.col("tf") >= min_term_frequency)
+        own = seed.select(F.explode(whole.tokens(name)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf")).where(F.col("tf") >= min_term_frequency)
         if min_word_length:
             own = own.where(F.length("term") >= min_word_length)
         if max_word_length:
             own = own.where(F.length("term") <= max_word_length)
         if stop_words:
             own = own.where(~F.col("term").isin(*stop_words))
-        size = table.df.select(F.size(tokens).alias("n")).agg(F.count("n").alias("docs"), F.avg("n").alias("length")).first()
-        spread = table.df.select(F.explode(F.array_distinct(tokens)).alias("term"))
-        df = spread.join(F.broadcast(own), "term").groupBy("term", "tf").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_doc_frequency)
-        if max_doc_frequency is not None:
-            df = df.where(F.col("df") <= max_doc_frequency)
-        idf = F.log(1 + (F.lit(size["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        best = df.withColumn("idf", idf).orderBy(F.desc(F.col("tf") * F.col("idf")), "term").limit(max_query_terms).collect()
-        terms = [(r["term"], boost * r["idf"]) for r in best]
-        if terms:
-            parts.append(F.coalesce(bind(tokens, _summed(terms, size["length"] or 1.0)), F.lit(0.0)))
+        frequency = dict(map(tuple, own.collect()))
+        if not frequency:
+            continue
+        tokens = table.tokens(name)
+        # one pass: each row gives its terms that the seed has, and null, which counts rows and tokens
+        held = F.array_distinct(F.filter(tokens, lambda t: t.isin(*frequency)))
+        each = table.df.select(F.size(tokens).alias("n"), F.explode_outer(F.concat(held, F.array(F.lit(None).cast("string")))).alias("term")).where("n >= 0")
+        counted = {r["term"]: (r["df"], r["length"]) for r in each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.avg("n").alias("length")).collect()}
+        docs, length = counted.pop(None, (0, 0.0))
+        idf = {t: math.log(1 + (docs - df + 0.5) / (df + 0.5)) for t, (df, _) in counted.items() if df >= min_doc_frequency and (max_doc_frequency is None or df <= max_doc_frequency)}
+        best = sorted(idf, key=lambda t: (-frequency[t] * idf[t], t))[:max_query_terms]
         if best:
-            where.append(holds(F.arrays_overlap(tokens, F.array(*[F.lit(r["term"]) for r in best]))))
+            terms = [(t, boost * idf[t]) for t in best]
+            parts.append(F.coalesce(bind(F.filter(tokens, lambda t: t.isin(*best)), _summed(terms, length or 1.0, F.size(tokens))), F.lit(0.0)))
+            where.append(holds(F.exists(tokens, lambda t: t.isin(*best))))
     if not parts:
-        return table.df.withColumn("_score", F.lit(0.0)).limit(0)
+        return whole.df.withColumn("_score", F.lit(0.0)).limit(0)
     found = table.df.where(reduce(lambda a, b: a | b, where) & (F.col(table.key) != F.lit(key_value)))
     found = found.where(lowering.where(filter_)) if filter_ else found
-    return found.withColumn("_score", reduce(lambda a, b: a + b, parts)).orderBy(F.desc("_score"), table.key).limit(limit)
+    return found.select(*whole.df.columns, reduce(lambda a, b: a + b, parts).alias("_score")).orderBy(F.desc("_score"), table.key).limit(limit)
 
 
-def _summed(terms: list[tuple[str, float]], average_length: float):
-    return lambda ts: reduce(lambda a, b: a + b, [bm25(ts, [t], w, average_length) for t, w in terms])
+def _summed(terms: list[tuple[str, float]], average_length: float, length):
+    return lambda ts: reduce(lambda a, b: a + b, [bm25(ts, [t], w, average_length, length) for t, w in terms])

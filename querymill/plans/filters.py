@@ -42,6 +42,17 @@ def scores(f: dict | None) -> bool:
     return f["kind"] in SCORING
 
 
+def searched(table: Table, f: dict | None) -> list[str]:
+    """The text columns whose tokens a filter looks at."""
+    if f is None:
+        return []
+    if f["kind"] in ("search", "search_boosted", "disjunction_max"):
+        return [table.indexed(n).name for n in f["fields"]] or table.text_columns()
+    if f["kind"] in ("fuzzy", "prefix", "phrase_prefix", "regex", "regex_phrase"):
+        return [table.indexed(f["column"]).name]
+    return [c for g in f.get("filters", [f["filter"]] if f["kind"] == "not" else []) for c in searched(table, g)]
+
+
 def without_own(f: dict | None, column: str) -> dict | None:
     """The filter without its structural predicates on a column; emptied containers go."""
     if f is None:
@@ -313,10 +324,11 @@ class Lowering:
         found = analyze(f["phrase"], c.analyzer)
         if not 2 <= len(found) <= 32 or len(f["phrase"].encode()) > 1024:
             raise RequestError("a phrase prefix has 2 to 32 tokens and 1024 bytes at most")
+        _expansions(f, 50, 4096)
         n, lead = len(found), F.array(*map(F.lit, found[:-1]))
 
         def somewhere(ts: Column) -> Column:
-            at = F.exists(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: (F.slice(ts, i, n - 1) == lead) & F.startswith(F.get(ts, i + (n - 2)), F.lit(found[-1])))
+            at = F.exists(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: (F.element_at(ts, i) == found[0]) & (F.slice(ts, i, n - 1) == lead) & F.startswith(F.get(ts, i + (n - 2)), F.lit(found[-1])))
             return F.when(F.size(ts) >= n, at).otherwise(F.lit(False))
 
         return Lowered(bind(self.table.tokens(c.name), somewhere), F.lit(1.0))
@@ -328,6 +340,7 @@ class Lowering:
         c, patterns, slop = self._positions(f["column"]), [_whole(p) for p in f["patterns"]], f.get("slop", 0)
         if not 2 <= len(patterns) <= 16 or not 0 <= slop <= 64:
             raise RequestError("a regex phrase has 2 to 16 patterns and a slop of 64 at most")
+        _expansions(f, 4096, 16_384)
         tokens = self.table.tokens(c.name)
         # reachable: the ends of matches of the first k patterns with the fewest skipped tokens, advanced pattern by pattern
         ends = F.transform(tokens, lambda t, i: F.when(t.rlike(patterns[0]), F.lit(0)))
@@ -336,6 +349,12 @@ class Lowering:
         return Lowered(F.exists(ends, lambda x: x.isNotNull()), F.lit(1.0))
 
 
+def _expansions(f: dict, usual: int, most: int) -> None:
+    """max_expansions bounds the terms that an index would try. Here rows are tested one by one and none are left out."""
+    if not 1 <= f.get("max_expansions", usual) <= most:
+        raise RequestError(f"max_expansions is 1 to {most}")
+
+
 def _advance(tokens: Column, ends: Column, pattern: str, slop: int) -> Column:
     """Fewest tokens skipped so far by a match that ends at each place, given those of one pattern less."""
     def at(before: Column, t: Column, i: Column) -> Column:

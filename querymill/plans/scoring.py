@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +17,10 @@ K1, B = 1.2, 0.75
 
 
 def contains_phrase(tokens: Column, phrase: Sequence[str]) -> Column:
-    return phrase_count(tokens, phrase) > 0
+    if len(phrase) == 1:
+        return F.array_contains(tokens, phrase[0])
+    # most rows lack one of the words: only the others are searched for their order
+    return bind(tokens, lambda ts: reduce(lambda a, b: a & b, [F.array_contains(ts, t) for t in dict.fromkeys(phrase)]) & (phrase_count(ts, phrase) > 0))
 
 
 def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
@@ -25,17 +29,17 @@ def phrase_count(tokens: Column, phrase: Sequence[str]) -> Column:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
 
     def count(ts: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: F.slice(ts, i, n) == F.array(*map(F.lit, phrase)))
+        starts = F.filter(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: (F.element_at(ts, i) == phrase[0]) & (F.slice(ts, i, n) == F.array(*map(F.lit, phrase))))
         return F.when(F.size(ts) >= n, F.size(starts)).otherwise(F.lit(0))
 
     return bind(tokens, count)
 
 
-def bm25(tokens: Column, terms: Sequence[str], weight: float, average_length: float) -> Column:
-    """Saturated frequency of a term or phrase times its weight, 0 where absent."""
+def bm25(tokens: Column, terms: Sequence[str], weight: float, average_length: float, length: Column | None = None) -> Column:
+    """Saturated frequency of a term or phrase times its weight, 0 where absent. length: of the text, where tokens are a part of it."""
 
     def of(tf: Column) -> Column:
-        norm = K1 * (1 - B) + K1 * B * F.size(tokens) / F.lit(max(average_length, 1e-9))
+        norm = K1 * (1 - B) + K1 * B * (F.size(tokens) if length is None else length) / F.lit(max(average_length, 1e-9))
         return F.when(tf > 0, F.lit(weight * (K1 + 1)) * tf / (tf + norm)).otherwise(F.lit(0.0))
 
     return bind(phrase_count(tokens, terms).cast("double"), of)
@@ -55,7 +59,8 @@ class Stats:
     def _load(self) -> dict:
         if self._row is None:
             columns = list(dict.fromkeys(c for c, _ in self.wanted))
-            tokenised = self.table.df.select(*[self.table.tokens(c).alias(f"t{k}") for k, c in enumerate(columns)])
+            table = self.table.tokenised(*columns) if isinstance(self.table, Table) else self.table
+            tokenised = table.df.select(*[table.tokens(c).alias(f"t{k}") for k, c in enumerate(columns)])
             sizes = [x for k in range(len(columns)) for x in (F.count(f"t{k}").alias(f"n{k}"), F.sum(F.size(f"t{k}")).alias(f"l{k}"))]
             hits = [F.count_if(F.array_contains(f"t{columns.index(c)}", t)).alias(f"d{j}") for j, (c, t) in enumerate(self.wanted)]
             row = tokenised.agg(*sizes, *hits).first()

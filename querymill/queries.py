@@ -93,7 +93,7 @@ def cmp(column: str, op: str, value) -> dict:
 
 
 def filtered(table: Table, f: dict, *columns: str) -> DataFrame:
-    return table.df.where(Lowering(table, scored=False).where(f)).select(*columns)
+    return reads.matching(table, f).select(*columns)
 
 
 # predicates
@@ -735,13 +735,20 @@ def _(s, d):
 # mutations: the state of a table after them
 
 
-def _catalog(s: SparkSession, d: str) -> catalog.Catalog:
-    """A new catalog with the orders of the driver's table."""
+def _shared(s: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; without that only a local session has one."""
     import tempfile
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-querymill-")
-    c = catalog.Catalog(s, f"{base}/catalog/{uuid.uuid4().hex}")
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return f"{base or tempfile.mkdtemp(prefix='spark-querymill-')}/catalog/{uuid.uuid4().hex}"
+
+
+def _catalog(s: SparkSession, d: str) -> catalog.Catalog:
+    """A new catalog with the orders of the driver's table."""
+    c = catalog.Catalog(s, _shared(s))
     t = orders(s, d)
     c.create(catalog.Definition("orders", tuple(t.columns.values()), "o_orderkey", ("sales",)))
     c.upsert("orders", t.df)
@@ -844,6 +851,27 @@ def _(s, d):
     return c.table("orders").df.select(*_STATE, F.lit(report["rejected"]).cast("long").alias("rejected"))
 
 
+@query(
+    "s07_flatten_nested",
+    "SELECT o_orderkey, o_orderstatus, parts::VARCHAR AS parts, quantities::VARCHAR AS quantities FROM (SELECT o_orderkey, o_orderstatus, list_prepend(o_custkey, coalesce(parts, [])) AS parts, coalesce(quantities, []) AS quantities "
+    "FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(list(l_partkey)) AS parts, list_sort(list(l_quantity) FILTER (WHERE l_returnflag <> 'R')) AS quantities FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)",
+)
+def _(s, d):
+    """Orders with their lines nested are written as NDJSON and read flat: the customer and the lines' parts in one array."""
+    from querymill.sources import ndjson
+
+    kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))
+    lines = _load(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("part"), kept.alias("quantity"))).alias("lines"))
+    nested = _load(s, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_orderstatus", "o_custkey", F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"))
+    path = f"{_shared(s)}/nested"
+    nested.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    flat = ndjson.read_flattened(s, path, {"o_orderkey": ("bigint", "o_orderkey"), "o_orderstatus": ("string", "o_orderstatus"), "parts": ("bigint", ["o_custkey", "lines[].part"]), "quantities": ("double", ["lines[].quantity"])})
+    text = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
+    parts = F.col("parts")
+    first, rest = F.slice(parts, 1, 1), F.sort_array(F.slice(parts, F.lit(2), F.size(parts)))
+    return flat.select("o_orderkey", "o_orderstatus", text(F.concat(first, rest)).alias("parts"), text(F.sort_array("quantities")).alias("quantities"))
+
+
 @query("s08_backup_restore", f"SELECT o_orderkey, o_custkey, o_totalprice, priority FROM {ORDERS}")
 def _(s, d):
     from querymill.sources import backup

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querymill.operators.catalog import Catalog, typed_rows
@@ -41,6 +41,44 @@ def import_report(catalog: Catalog, name: str, path: str, on_error: str = "abort
     return {"accepted": n, "rejected": lines - n}
 
 
+def read_flattened(spark: SparkSession, path: str, columns: dict[str, tuple[str, str | list[str]]]) -> DataFrame:
+    """Flat rows of nested objects, one a line. columns: name -> (type, path or paths).
+
+    One path is a field that each object must have; it may be null. Several make an array of the values that are there, in the
+    paths' order: `a` is a field that may lack, `a[]` all items of an array and `a[].b` a field of each item, and these arrays
+    each object must have. Values that are null or of another type are left out of arrays, and null elsewhere. Lines that are no
+    objects fail the read.
+    """
+    line = F.when(F.json_object_keys("value").isNotNull(), F.try_parse_json("value")).otherwise(_bad("not an object", F.col("value")))
+    rows = spark.read.text(path).where(F.trim("value") != "").select(line.alias("__qm_object"), "value")
+    return rows.select(*[_flat("__qm_object", *how).alias(name) for name, how in columns.items()])
+
+
+def _bad(what: str, line: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(what + ": "), F.substring(line, 1, 200)))
+
+
+def _each(items: Column, path: str, kind: str) -> Column:
+    return F.transform(items, lambda x: F.try_variant_get(x, path, kind))
+
+
+def _flat(at: str, kind: str, paths: str | list[str]) -> Column:
+    whole = F.col(at)
+    if isinstance(paths, str):
+        there = F.try_variant_get(whole, f"$.{paths}", "variant").isNotNull()
+        return F.when(there, F.try_variant_get(whole, f"$.{paths}", kind)).otherwise(_bad(f"no {paths}", F.col("value")))
+    parts = []
+    for p in paths:
+        head, items, leaf = p.partition("[]")
+        if not items:
+            parts.append(F.array(F.try_variant_get(whole, f"$.{p}", kind)))
+            continue
+        found = F.try_variant_get(whole, f"$.{head}", "array<variant>")
+        taken = _each(found, "$" + leaf, kind)
+        parts.append(F.when(found.isNotNull(), taken).otherwise(_bad(f"{head} is no array", F.col("value"))))
+    return F.array_compact(F.concat(*parts))
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """A result as NDJSON files."""
     df.write.json(path)

@@ -15,6 +15,8 @@ KINDS: dict[str, T.DataType] = {
     "json": T.StringType(), "facet": T.StringType(), "geo_point": T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]),
 }
 RESERVED = "__qm_"
+#: A table up to this size may sit in fewer row groups than there are cores: it is dealt to all before its text is cut.
+SMALL_BYTES = 1 << 30
 
 
 class RequestError(ValueError):
@@ -114,6 +116,22 @@ class Table:
             df = df.withColumn(kept[c.name], (array_tokens if c.is_array else tokens)(F.col(c.name), c.analyzer))
         return replace(self, df=df, token_columns=kept)
 
+    def tokenised(self, *names: str) -> Table:
+        """The same for one request. A filter on the tokens stays above the step that makes them, so each text is cut once."""
+        from querymill.functions.text import array_tokens, parse_analyzer, tokens
+
+        wanted = [c for c in map(self.column, dict.fromkeys(names)) if c.name not in self.token_columns and parse_analyzer(c.analyzer)[0] != "raw"]
+        if not wanted:
+            return self
+        df, kept = self.df, dict(self.token_columns)
+        if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL_BYTES:
+            df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+        for c in wanted:
+            kept[c.name] = f"{RESERVED}tokens_{c.name}"
+            made = (array_tokens if c.is_array else tokens)(F.col(c.name), c.analyzer)
+            df = df.select("*", F.explode_outer(F.array(made)).alias(kept[c.name]))  # one row for each row
+        return replace(self, df=df, token_columns=kept)
+
     def tokens(self, name: str) -> Column:
         from querymill.functions.text import array_tokens, tokens
 

@@ -172,3 +172,19 @@ def test_command_line(books, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr(sys, "argv", ["querymill", books.store.root, "books", "aggregate", str(request)])
     cli.main()
     assert json.loads(capsys.readouterr().out)["n"]["value"] == 3
+
+
+def test_nested_lines_are_read_flat(spark, tmp_path):
+    kept = [
+        {"no": 1, "label": "a", "owner": "x", "crew": [{"name": "y", "age": 3}, {"name": None}, {"age": 4}, {"name": 7}], "marks": [3, 1, 3]},
+        {"no": 2, "label": None, "crew": [], "marks": [], "more": {"deep": 1}},
+    ]
+    columns = {"no": ("bigint", "no"), "label": ("string", "label"), "names": ("string", ["owner", "crew[].name"]), "marks": ("bigint", ["marks[]"])}
+    path = tmp_path / "nested.json"
+    path.write_text("\n".join(map(json.dumps, kept)) + "\n\n")
+    got = sorted(map(tuple, ndjson.read_flattened(spark, str(path), columns).collect()))
+    assert got == [(1, "a", ["x", "y", "7"], [3, 1, 3]), (2, None, [], [])]
+    for bad in ('{"no": 1, "crew": [], "marks": []}', '{"no": 1, "label": "a", "crew": {}, "marks": []}', "[1]", "{"):
+        path.write_text(bad)
+        with pytest.raises(Exception, match="no label|no array|not an object"):
+            ndjson.read_flattened(spark, str(path), columns).collect()

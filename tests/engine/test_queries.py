@@ -9,7 +9,7 @@ import pytest
 from querymill import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(n for n in queries.SQL if n.startswith(("b0", "b1", "a0", "f06", "s04", "s08", "m0")))
+NAMES = sorted(n for n in queries.SQL if n.startswith(("b0", "b1", "a0", "f05", "f06", "f09", "o05", "p02", "s0", "x0", "m0")))
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from querymill.operators import reads
+from querymill.operators import buckets, reads
 from querymill.plans.filters import Lowering, without_own
 from querymill.table import RequestError, Table
 
@@ -160,6 +160,8 @@ def test_plans_profiles_and_row_lists(spark):
     stored = Table.of(spark.read.parquet("/root/testdata/sf0.001/part.parquet"), "p_partkey")
     assert "PushedFilters" in reads.explain(stored, {"filter": cmp("p_size", "greater", 5)})
     assert reads.profile(t, {"limit": 5})["rows"] == 5
+    spent = buckets.profile(t, {"all": {"kind": "metric", "function": "count"}})
+    assert spent["all"]["rows"] == 1 and spent["all"]["run_seconds"] > 0
     assert [r["sku"] for r in reads.list_rows(t, q="hardy beans").collect()] == skus(lambda r: "beans" in r[NAME] or r[REMARK] == "hardy")
     with pytest.raises(RequestError):
         reads.list_rows(t, limit=0)
