@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import time
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,7 +58,7 @@ def _lower(table: Table, df: DataFrame, keys: list[str], path: str, node: dict,
         raise RequestError(f"aggregations nest {MAX_DEPTH} deep")
     kind = node["kind"]
     if kind == "metric":
-        out[path] = df.groupBy(*keys).agg(*metrics(table, node))
+        out[path] = _grouped(df, keys, metrics(table, node))
         return
     if kind == "top_hits":
         out[path] = top_hits(table, df, keys, node, depth)
@@ -73,6 +74,7 @@ def _lower(table: Table, df: DataFrame, keys: list[str], path: str, node: dict,
     children = node.get("aggregations", {})
     inline = {n: c for n, c in children.items() if c["kind"] == "metric"}
     extra = [m.alias(f"{n}_{m_name}" if m_name != "value" else n) for n, c in inline.items() for m_name, m in _metrics(table, c).items()]
+    extra = [F.count(F.lit(1)).alias("doc_count"), *extra]
     members, own = rule(table, df, keys, path.rsplit(".", 1)[-1], node, extra)
     out[path] = own
     deeper = {n: c for n, c in children.items() if c["kind"] != "metric"}
@@ -84,7 +86,9 @@ def _lower(table: Table, df: DataFrame, keys: list[str], path: str, node: dict,
 
 
 def _join(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """A join by keys where null equals null, for a bucket may be that of the missing values."""
+    """A join by keys where null equals null, for a bucket may be that of the missing values. No keys: both have one row."""
+    if not keys:
+        return df.join(other, how="cross")
     named = other.select(*[F.col(k).alias(f"__qm_on_{n}") for n, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(named[f"__qm_on_{n}"]) for n, k in enumerate(keys)])
     return df.join(named, same, how).drop(*[f"__qm_on_{n}" for n in range(len(keys))])
@@ -92,6 +96,81 @@ def _join(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFra
 
 # metrics
 
+#: An exact percentile's rank is found in the bits of the values, so many at a time from the top.
+DIGIT_BITS, DIGITS = 16, 4
+
+
+@dataclass(frozen=True)
+class Percentile:
+    """An exact percentile. It stands among a node's metrics, but is no aggregate function: see _percentiles."""
+
+    value: Column
+    share: float
+    name: str = "value"
+
+    def alias(self, name: str) -> Percentile:
+        return Percentile(self.value, self.share, name)
+
+
+def _grouped(df: DataFrame, keys: list[str], found: list[Column | Percentile]) -> DataFrame:
+    """The metrics of each group, or of all rows."""
+    plain, exact = [m for m in found if isinstance(m, Column)], {}
+    for m in found:
+        if isinstance(m, Percentile):
+            exact.setdefault(id(m.value), []).append(m)
+    own = [df.groupBy(*keys).agg(*plain)] if plain else []
+    names = iter(own[0].columns[len(keys) :] if plain else [])
+    order = [next(names) if isinstance(m, Column) else m.name for m in found]
+    own += [_percentiles(df, keys, ms) for ms in exact.values()]
+    return reduce(lambda a, b: _join(a, b, keys, "left"), own).select(*keys, *order)
+
+
+def _sortable(df: DataFrame, name: str, out: str) -> DataFrame:
+    """With a long for each double of a column, in the same order: its bits, negated below zero. NaN comes last."""
+    c, inf = F.col(name), F.lit(float("inf"))
+    size = F.when(F.abs(c) < inf, F.abs(c))
+    power = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.coalesce(F.floor(F.log2(size)), F.lit(-1022)))).cast("int")  # one off at most, by rounding
+    high, low = F.col("__qm_x") >= 2, (F.col("__qm_x") < 1) & (F.col("__qm_e") > -1022)
+    bits = (F.col("__qm_e") + F.when(high, 1).when(low, -1).otherwise(0) + 1022).cast("long") * F.lit(1 << 52) + F.floor(F.col("__qm_x") * F.when(high, 0.5).when(low, 2.0).otherwise(1.0) * F.lit(2.0**52))
+    bits = F.coalesce(bits, F.when(F.isnan(c), F.lit((2047 << 52) + 1)).otherwise(F.lit(2047 << 52)))
+    return df.withColumn("__qm_e", power).withColumn("__qm_x", size * F.pow(F.lit(2.0), -F.col("__qm_e"))).withColumn(out, F.when(c < 0, -bits).otherwise(bits)).drop("__qm_e", "__qm_x")
+
+
+def _percentiles(df: DataFrame, keys: list[str], wanted: list[Percentile]) -> DataFrame:
+    """Exact percentiles of one value by group, interpolated between the two ranks around each.
+
+    Rows are counted by value, then by its leading 48, 32 and 16 bits. From the top, each count's running sum tells in which
+    prefix a rank lies, and only that prefix is looked into below, so no task orders more than 65 536 counts for a group's rank.
+    """
+    by = [F.col(k) for k in keys]
+    counted = df.select(*keys, wanted[0].value.cast("double").alias("__qm_v")).where(F.col("__qm_v").isNotNull()).groupBy(*keys, "__qm_v").agg(F.count(F.lit(1)).alias("__qm_n"))
+    levels = [_sortable(counted, "__qm_v", "__qm_at")]
+    for _ in range(DIGITS - 1):
+        levels.append(levels[-1].groupBy(*by, F.shiftright("__qm_at", DIGIT_BITS).alias("__qm_at")).agg(F.sum("__qm_n").alias("__qm_n")))
+
+    def position(share: float) -> Column:
+        return (F.col("__qm_total") - 1) * F.lit(share)
+
+    def running(level: DataFrame, within: list[str]) -> DataFrame:
+        rows = Window.partitionBy(*within).orderBy("__qm_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return level.withColumn("__qm_past", F.sum("__qm_n").over(rows)).withColumn("__qm_before", F.col("__qm_past") - F.col("__qm_n"))
+
+    holds = (F.col("__qm_before") <= F.col("__qm_rank")) & (F.col("__qm_rank") < F.col("__qm_past"))
+    top = running(levels[-1], keys).withColumn("__qm_total", F.sum("__qm_n").over(Window.partitionBy(*keys)))
+    ranks = [F.struct(F.lit(2 * n + up).alias("i"), end(position(m.share)).cast("long").alias("r")) for n, m in enumerate(wanted) for up, end in enumerate((F.floor, F.ceil))]
+    found = top.select("*", F.explode(F.array(*ranks)).alias("__qm_a")).select("*", F.col("__qm_a.i").alias("__qm_i"), F.col("__qm_a.r").alias("__qm_rank")).where(holds)
+    for level in levels[-2::-1]:
+        found = found.select(*keys, "__qm_i", "__qm_total", F.col("__qm_at").alias("__qm_in"), (F.col("__qm_rank") - F.col("__qm_before")).alias("__qm_rank"))
+        inside = _join(level.withColumn("__qm_in", F.shiftright("__qm_at", DIGIT_BITS)), found if keys else F.broadcast(found), [*keys, "__qm_in"], "inner")
+        found = running(inside, [*keys, "__qm_i"]).where(holds)
+
+    def value(n: int, m: Percentile) -> Column:
+        low, high = (F.max(F.when(F.col("__qm_i") == 2 * n + up, F.col("__qm_v"))) for up in (0, 1))
+        at = F.max(position(m.share))
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(m.name)
+
+    return found.groupBy(*keys).agg(*[value(n, m) for n, m in enumerate(wanted)])
+
 
 def _target(table: Table, node: dict) -> Column:
     if (node.get("column") is None) == (node.get("json_path") is None):
@@ -107,7 +186,7 @@ def _target(table: Table, node: dict) -> Column:
     return F.coalesce(c, F.lit(node["missing"])) if node.get("missing") is not None else c
 
 
-def _metrics(table: Table, node: dict) -> dict[str, Column]:
+def _metrics(table: Table, node: dict) -> dict[str, Column | Percentile]:
     """cardinality and percentiles are sketched, or, with `exact`, counted and interpolated."""
     c, function = _target(table, node), node["function"]
     simple = {"count": lambda: F.count(c), "sum": lambda: F.sum(c).cast("double"), "average": lambda: F.avg(c).cast("double"), "min": lambda: F.min(c).cast("double"), "max": lambda: F.max(c).cast("double"), "cardinality": lambda: F.count_distinct(c) if node.get("exact") else F.approx_count_distinct(c)}
@@ -115,7 +194,7 @@ def _metrics(table: Table, node: dict) -> dict[str, Column]:
         return {"value": simple[function]()}
     if function == "percentiles":
         percents = node.get("percents") or PERCENTS
-        return {f"p{p:g}".replace(".", "_"): F.percentile(c.cast("double"), p / 100) if node.get("exact") else F.percentile_approx(c.cast("double"), p / 100, 10_000) for p in percents}
+        return {f"p{p:g}".replace(".", "_"): Percentile(c, p / 100) if node.get("exact") else F.percentile_approx(c.cast("double"), p / 100, 10_000) for p in percents}
     basic = {"count": F.count(c), "sum": F.sum(c).cast("double"), "average": F.avg(c).cast("double"), "min": F.min(c).cast("double"), "max": F.max(c).cast("double")}
     if function == "stats":
         return basic
@@ -125,7 +204,7 @@ def _metrics(table: Table, node: dict) -> dict[str, Column]:
     raise RequestError(f"unknown metric {function}")
 
 
-def metrics(table: Table, node: dict) -> list[Column]:
+def metrics(table: Table, node: dict) -> list[Column | Percentile]:
     return [m.alias(n) for n, m in _metrics(table, node).items()]
 
 
@@ -145,16 +224,16 @@ def _ordered(df: DataFrame, keys: list[str], key: str, order: dict | None, size:
     return df.withColumn("__qm_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("__qm_r") <= size).drop("__qm_r")
 
 
-def _terms_of(df: DataFrame, keys: list[str], value: Column, name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def _terms_of(df: DataFrame, keys: list[str], value: Column, name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     key = f"{name}_key"
     members = df.withColumn(key, value).where(F.col(key).isNotNull())
-    own = members.groupBy(*keys, key).agg(F.count(F.lit(1)).alias("doc_count"), *extra)
+    own = _grouped(members, [*keys, key], extra)
     if (least := node.get("min_doc_count")) is not None:
         own = own.where(F.col("doc_count") >= least)
     return members, _ordered(own, keys, key, node.get("order"), node.get("size", 10))
 
 
-def terms(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def terms(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     c = table.column(node["column"])
     if c.scalar in ("geo_point", "json"):
         raise RequestError(f"no terms of the {c.kind} column {c.name}")
@@ -170,7 +249,7 @@ def terms(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, e
     return _terms_of(df, keys, value, name, node, extra)
 
 
-def json_terms(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def json_terms(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     t = node["target"]
     value = json_path.typed(table, t["column"], t["path"], t["data_type"])
     if node.get("missing") is not None:
@@ -178,7 +257,7 @@ def json_terms(table: Table, df: DataFrame, keys: list[str], name: str, node: di
     return _terms_of(df, keys, value, name, node, extra)
 
 
-def _spaced(df: DataFrame, keys: list[str], name: str, value: Column, interval, offset, node: dict, bounds, extra: list[Column], to_key) -> tuple[DataFrame, DataFrame]:
+def _spaced(df: DataFrame, keys: list[str], name: str, value: Column, interval, offset, node: dict, bounds, extra: list[Column | Percentile], to_key) -> tuple[DataFrame, DataFrame]:
     """Fixed-width buckets. hard_bounds drop values; min_doc_count 0 adds the empty buckets between the ends (and extended_bounds)."""
     key, step = f"{name}_key", f"__qm_step_{name}"
     hard, wide = bounds(node.get("hard_bounds")), bounds(node.get("extended_bounds"))
@@ -187,7 +266,7 @@ def _spaced(df: DataFrame, keys: list[str], name: str, value: Column, interval,
     if hard:
         members = members.where(F.col("__qm_v").between(F.lit(hard[0]), F.lit(hard[1])))
     members = members.withColumn(step, place).drop("__qm_v").withColumn(key, to_key(F.col(step)))
-    own = members.groupBy(*keys, step).agg(F.count(F.lit(1)).alias("doc_count"), *extra)
+    own = _grouped(members, [*keys, step], extra)
     least = node.get("min_doc_count", 0)
     if least == 0:
         ends = members.groupBy(*keys).agg(F.min(step).alias("a"), F.max(step).alias("b")).where("a IS NOT NULL")
@@ -203,7 +282,7 @@ def _spaced(df: DataFrame, keys: list[str], name: str, value: Column, interval,
     return members.drop(step), own.select(*keys, to_key(F.col(step)).alias(key), *rest)
 
 
-def histogram(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def histogram(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     if node["kind"] == "json_histogram":
         t = node["target"]
         if t["data_type"] not in json_path.NUMERIC:
@@ -221,7 +300,7 @@ def histogram(table: Table, df: DataFrame, keys: list[str], name: str, node: dic
     return _spaced(df, keys, name, value, width, offset, node, bounds, extra, lambda s: s * F.lit(width) + F.lit(offset))
 
 
-def date_histogram(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def date_histogram(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     import datetime as dt
 
     width, offset = duration(node["fixed_interval"]), duration(node["offset"]) if node.get("offset") else 0
@@ -238,7 +317,7 @@ def date_histogram(table: Table, df: DataFrame, keys: list[str], name: str, node
     return _spaced(df, keys, name, micros(table, node["column"]), width, offset, node, bounds, extra, lambda s: F.timestamp_micros(s * F.lit(width) + F.lit(offset)))
 
 
-def ranges(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def ranges(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     """The given ranges, from inclusive to exclusive, empty ones too; a value counts in each range that holds it."""
     if not 1 <= len(node["ranges"]) <= 1000 or (node.get("keyed") and not all(r.get("key") for r in node["ranges"])):
         raise RequestError("1 to 1000 ranges, with keys if keyed")
@@ -255,19 +334,19 @@ def ranges(table: Table, df: DataFrame, keys: list[str], name: str, node: dict,
     inside = [reduce(lambda a, b: a & b, [x for x in (value >= lit(r["from"]) if r.get("from") is not None else None, value < lit(r["to"]) if r.get("to") is not None else None) if x is not None], value.isNotNull()) for r in node["ranges"]]
     labels = F.filter(F.array(*[F.when(p, F.lit(label(r))) for r, p in zip(node["ranges"], inside)]), lambda x: x.isNotNull())
     members = df.withColumn(key, F.explode(labels))
-    own = members.groupBy(*keys, key).agg(F.count(F.lit(1)).alias("doc_count"), *extra)
+    own = _grouped(members, [*keys, key], extra)
     every = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     grid = every.withColumn(key, F.explode(F.array(*[F.lit(label(r)) for r in node["ranges"]])))
     own = _join(grid, own, [*keys, key], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0).cast("long")))
     return members, own
 
 
-def filter_bucket(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def filter_bucket(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     members = df.where(Lowering(table, scored=False).where(node["filter"]))
-    return members, members.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count"), *extra)
+    return members, _grouped(members, keys, extra)
 
 
-def composite(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column]) -> tuple[DataFrame, DataFrame]:
+def composite(table: Table, df: DataFrame, keys: list[str], name: str, node: dict, extra: list[Column | Percentile]) -> tuple[DataFrame, DataFrame]:
     """Buckets of key tuples in tuple order, a page at a time: `after` takes the last tuple of the page before."""
     sources, size = node["sources"], node.get("size", 10)
     if not 1 <= len(sources) <= 16 or not 1 <= size <= MAX_SIZE:
@@ -283,7 +362,7 @@ def composite(table: Table, df: DataFrame, keys: list[str], name: str, node: dic
         names.append((key, down, first))
         c = F.col(key)
         by.append((c.desc_nulls_first() if first else c.desc_nulls_last()) if down else (c.asc_nulls_first() if first else c.asc_nulls_last()))
-    grouped = df.groupBy(*keys, *[n for n, _, _ in names]).agg(F.count(F.lit(1)).alias("doc_count"), *extra)
+    grouped = _grouped(df, [*keys, *[n for n, _, _ in names]], extra)
     if node.get("after"):
         grouped = grouped.where(_beyond(grouped, names, [node["after"][s["name"]] for s in sources]))
     if not keys:

@@ -1,11 +1,12 @@
 """Groups, buckets, facets and similar rows against plain Python over the fixtures' rows."""
 
+import math
 from collections import Counter, defaultdict
 
 import pytest
 
 from querymill.operators import buckets, facets, reads, similar
-from querymill.table import RequestError
+from querymill.table import RequestError, Table
 
 from .fixtures import LOGS, SEEDS, SHELVES, buoys, logs, seeds, shelves
 
@@ -114,6 +115,47 @@ def test_hits_below_one_filter_and_exact_metrics(spark):
     assert got["n"]["value"] == 3 and got["p"]["p50"] == (grams[5] + grams[6]) / 2
 
 
+def to_one_task(df):
+    """Bytes that a frame's run, which has ended, sent into single partitions."""
+    total, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec" and "SinglePartition" in node.outputPartitioning().toString():
+            total += node.metrics().apply("dataSize").value()
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        left += below + [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_exact_percentiles_are_not_found_in_one_task(spark):
+    share = lambda p, v: v[int(p * (len(v) - 1))] + p * (len(v) - 1) % 1 * (v[min(int(p * (len(v) - 1)) + 1, len(v) - 1)] - v[int(p * (len(v) - 1))])
+    df = spark.range(100_000, numPartitions=4).selectExpr("id", "IF(id % 7 = 0, NULL, id * 7919 % 100003 / 4 - 9000) AS v", "IF(id % 5 = 0, NULL, id % 5) AS g")
+    t = Table.of(df, "id")
+    node = {"kind": "metric", "function": "percentiles", "column": "v", "exact": True, "percents": [0, 12.5, 50, 100]}
+    values = defaultdict(list)
+    for k in range(100_000):
+        if k % 7:
+            values[k % 5 or None].append(k * 7919 % 100003 / 4 - 9000)
+    got = buckets.aggregate(t, {"p": node})["p"]
+    every = sorted(x for v in values.values() for x in v)
+    assert got.collect()[0].asDict() == pytest.approx({"p0": every[0], "p12_5": share(0.125, every), "p50": share(0.5, every), "p100": every[-1]}, abs=1e-9)
+    assert to_one_task(got) < 100_000
+    sources = [{"kind": "terms", "name": "g", "column": "g", "missing_bucket": True}]
+    rows = buckets.aggregate(t, {"b": {"kind": "composite", "sources": sources, "aggregations": {"p": node, "n": {"kind": "metric", "function": "count", "column": "v"}}}})["b"].collect()
+    assert {r["g_key"]: (r["p_p12_5"], r["n"]) for r in rows} == {g: (pytest.approx(share(0.125, sorted(v)), abs=1e-9), len(v)) for g, v in values.items()}
+    none = buckets.aggregate(t, {"p": node}, {"kind": "compare", "column": "id", "operator": "less", "value": 0})["p"]
+    assert list(map(tuple, none.collect())) == [(None,) * 4]
+
+
+def test_percentiles_order_all_doubles(spark):
+    ends = [math.ldexp(1.0, e) for e in (-1074, -1023, -1022, -1, 0, 29, 1023)]
+    values = sorted({s * x for v in ends for x in (v, math.nextafter(v, 0), math.nextafter(v, 2 * v)) for s in (1, -1)} | {math.inf, -math.inf})
+    rows = [(k, v) for k, v in enumerate([*values, math.nan])]
+    bits = [b for _, _, b in sorted(buckets._sortable(spark.createDataFrame(rows, "k long, v double"), "v", "b").collect())]
+    assert bits == sorted(set(bits))
+
+
 def test_facets(spark):
     t = shelves(spark)
     pots, held = ({"kind": "compare", "column": c, "operator": "equal", "value": v} for c, v in (("place", "/shop/pots"), ("stock", "in")))
