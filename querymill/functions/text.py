@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -27,10 +28,14 @@ def _simple(c: Column) -> Column:
 
 
 def _per_token(fn: Callable[[str], str]) -> Callable[[Column], Column]:
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(batch: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return batch.map(lambda ts: None if ts is None else [known[t] if t in known else known.setdefault(t, fn(t)) for t in ts])
+    """fn of every token. Only a batch's distinct tokens become Python strings; all others stay in Arrow's buffers."""
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(batch: pa.Array) -> pa.Array:
+        coded = batch.flatten().dictionary_encode()
+        made = pa.array([None if t is None else fn(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+        ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(batch), 0))
+        return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), made, mask=batch.is_null())
 
     return run
 
